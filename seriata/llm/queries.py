@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, simhash, url_cascade
 from .text import hex16
 
 
@@ -15,6 +16,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+#: A conversation of the contract: texts made of other templates' control strings.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    made = chat.format_turns(chat.table_turns(rows)).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return made.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), chat.turns_digest(F.col("turns")).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -25,8 +44,56 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op4_chat_format": op4_chat_format,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+def _sql_rules() -> tuple[str, str]:
+    ranked = sorted(url_cascade.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in ranked]
+    return " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits), " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+
+
+_RULE, _VERDICT = _sql_rules()
+_LISTED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in url_cascade.BLOCKED_HOSTS)
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+
+OP1_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+)
+SELECT page_id, host, path, CASE {_RULE} END AS rule, CASE {_VERDICT} WHEN {_LISTED} THEN 'block' ELSE 'allow' END AS verdict
+FROM parts
+"""
+
+
+def _sql_escaped_length(column: str) -> str:
+    """Characters of the escaped text: every control string becomes two, every escape sign gains one."""
+    out = f"replace({column}, '{chat.ESCAPE}', '{chat.ESCAPE}0')"
+    for c, code in zip(chat.CONTROLS, chat._CODES, strict=False):
+        out = f"replace({out}, '{c}', '{chat.ESCAPE}{code}')"
+    return f"length({out})"
+
+
+OP4_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, {_sql_escaped_length("replace(role, chr(10), 'xx')")} + {_sql_escaped_length("text")} + {len(chat.START) + len(chat.END) + 2} AS chars FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL}
