@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash, url_cascade
+from . import chat, mixing, packing, secrets, simhash, url_cascade, warc
 from .text import hex16
 
 
@@ -43,11 +43,39 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.where("not gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _count_kind(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [_count_kind(kind) for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_chat_format": op4_chat_format,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_mixing": op10_mixing,
 }
 
 def _sql_rules() -> tuple[str, str]:
