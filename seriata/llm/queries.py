@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, secrets, simhash, url_cascade, warc
+from . import chat, mixing, packing, quality, secrets, simhash, url_cascade, warc
 from .text import hex16
 
 
@@ -47,6 +47,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages"))
     return read.where("not gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
