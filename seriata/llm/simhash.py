@@ -133,41 +133,45 @@ TERM_WORDS = 2
 SEEDS = (42, 43)
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
-    """``(doc_id, next_id)`` for each distinct id, in descending order; after the last (null ids are last) comes the first.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``k1, k2, text``: the id as two columns without nulls, so that plain equality joins it; null text as empty."""
+    return docs.select(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("k1"), F.col("doc_id").isNull().alias("k2"), whole(F.col("text")).alias("text"))
+
+
+def next_keys(docs: DataFrame) -> DataFrame:
+    """``(k1, k2, n1, n2)``: each distinct id and the next in descending order; after the last (null ids are last) comes the first.
 
     Ids are range-partitioned and numbered inside a partition; only one row per partition, its first id, meets in one task.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select("doc_id").distinct()
-    at = ids.repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id())
-    order = W.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last())
-    at = at.withColumn("follows", F.lead(F.struct("doc_id")).over(order)).withColumn("nth", F.row_number().over(order))
-    heads = at.where("nth = 1").select("part", F.struct("doc_id").alias("head"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    falling = [F.col("k2").asc(), F.col("k1").desc()]
+    at = _keyed(docs).select("k1", "k2").distinct().repartitionByRange(parts, *falling).withColumn("part", F.spark_partition_id())
+    at, _ = stored(at, "ids")  # ranges are sampled, so they are fixed before they are read twice
+    order = W.partitionBy("part").orderBy(*falling)
+    at = at.withColumn("follows", F.lead(F.struct("k1", "k2")).over(order)).withColumn("nth", F.row_number().over(order))
+    heads = at.where("nth = 1").select("part", F.struct("k1", "k2").alias("head"))
     over = W.orderBy("part")  # one row per partition
-    heads = heads.select(
-        "part", F.coalesce(F.lead("head").over(over), F.first("head").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next_head")
-    )
-    return at.join(F.broadcast(heads), "part").select("doc_id", F.coalesce("follows", "next_head").getField("doc_id").alias("next_id"))
+    first = F.first("head").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = heads.select("part", F.coalesce(F.lead("head").over(over), first).alias("next_head"))
+    found = at.join(F.broadcast(heads), "part").select("k1", "k2", F.coalesce("follows", "next_head").alias("n"))
+    return found.select("k1", "k2", F.col("n.k1").alias("n1"), F.col("n.k2").alias("n2"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, text, edited, next_id)``: the last third of each text replaced by the start of the next document's.
+    """``(k1, k2, n1, n2, text_hash, text, edited)``: the last third of each text replaced by the start of the next document's.
 
-    An id with several texts lends the one whose XXH64 is smallest. The text is shuffled once, by id; what moves besides
-    is the borrowed third.
+    An id with several texts lends the one whose XXH64 is smallest. The text is shuffled once, by id, and both joins read
+    that exchange; what moves besides is the borrowed third. The result is partitioned by id.
     """
-    one = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    one = one.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.floor(F.char_length("text") / 3).cast("int").alias("third"))
-    lengths = docs.select("doc_id", F.floor(F.char_length(whole(F.col("text"))) / 3).cast("int").alias("third"))
-    asks = lengths.groupBy("doc_id").agg(F.max("third").alias("most")).join(next_ids(docs).withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
-    asks = asks.select(F.col("doc_id").alias("to_id"), "next_id", "most")
-    lent = one.join(asks, one.doc_id.eqNullSafe(asks.next_id)).select("to_id", "next_id", F.struct("text_hash", F.expr("left(text, most)").alias("start")).alias("s"))
-    lent = lent.groupBy("to_id", "next_id").agg(F.min("s").getField("start").alias("start"))
-    joined = one.join(lent, one.doc_id.eqNullSafe(lent.to_id))
-    edited = F.concat(F.expr("left(text, char_length(text) - third)"), F.expr("left(start, third)"))
-    return joined.select("doc_id", "text_hash", "text", edited.alias("edited"), "next_id")
+    one = _keyed(docs).repartition("k1", "k2")
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    most = _keyed(docs).select("k1", "k2", third.alias("third")).groupBy("k1", "k2").agg(F.max("third").alias("most"))
+    asks = most.join(next_keys(docs), ["k1", "k2"]).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("n1").alias("k1"), F.col("n2").alias("k2"), "most")
+    lent = one.join(asks, ["k1", "k2"]).select("t1", "t2", "k1", "k2", F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, most)").alias("start")).alias("s"))
+    lent = lent.groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.col("k1").alias("n1"), F.col("k2").alias("n2")).agg(F.min("s").alias("s"))
+    joined = one.join(lent, ["k1", "k2"]).withColumn("third", third)
+    edited = F.concat(F.expr("left(text, char_length(text) - third)"), F.expr("left(s.start, third)"))
+    return joined.select("k1", "k2", "n1", "n2", F.xxhash64("text").alias("text_hash"), "text", edited.alias("edited"))
 
 
 def term_fingerprints(texts: DataFrame, keys: list[str], size: int = TERM_WORDS) -> DataFrame:
@@ -203,20 +207,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     texts = edited_texts(docs).withColumn("_sha", F.sha2("edited", 256))
     quarter = [F.conv(F.substring("_sha", 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
-    texts = texts.select(
-        "doc_id", "text_hash", "next_id", F.char_length("text").cast("bigint").alias("n_chars"), *quarter,
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("e"),
-    ).select("doc_id", "text_hash", "next_id", "n_chars", "q0", "q1", "q2", "q3", "e.kind", "e.t")
-    keys = ["doc_id", "text_hash", "next_id", "n_chars", "q0", "q1", "q2", "q3"]
+    keys = ["k1", "k2", "n1", "n2", "text_hash", "n_chars", "q0", "q1", "q2", "q3"]
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited"))])
+    texts = texts.select("k1", "k2", "n1", "n2", "text_hash", F.char_length("text").cast("bigint").alias("n_chars"), *quarter, F.inline(both))
     prints = term_fingerprints(texts, [*keys, "kind"])
     pick = [F.max(F.when(F.col("kind") == k, F.col(f"f{i}"))).alias(f"{n}{i}") for k, n in ((0, "f"), (1, "e")) for i in range(2)]
-    prints = prints.groupBy(*keys).agg(*pick)
-    lead = prints.groupBy(F.col("doc_id").alias("of")).agg(F.min(F.struct("text_hash", "f0", "f1")).alias("n"))
-    out = prints.join(lead, prints.next_id.eqNullSafe(lead.of))
+    prints, _ = stored(prints.groupBy(*keys).agg(*pick), "prints")
+    lead = prints.groupBy(F.col("k1").alias("n1"), F.col("k2").alias("n2")).agg(F.min(F.struct("text_hash", "f0", "f1")).alias("n"))
     f, e, n = ([F.col(f"{x}{i}") for i in range(2)] for x in ("f", "e", "n.f"))
-    return out.select(
-        "doc_id", "n_chars", F.concat(*[hex16(F.col(f"q{i}")) for i in range(4)]).alias("edited_sha256"), F.concat(*map(hex16, f)).alias("fingerprint"),
-        F.concat(*map(hex16, e)).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"),
+    return prints.join(lead, ["n1", "n2"]).select(
+        F.when(~F.col("k2"), F.col("k1")).alias("doc_id"), "n_chars", F.concat(*[hex16(F.col(f"q{i}")) for i in range(4)]).alias("edited_sha256"),
+        F.concat(*map(hex16, f)).alias("fingerprint"), F.concat(*map(hex16, e)).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"),
     )
 
 
