@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, secrets, simhash, url_cascade, warc
+from . import chat, mixing, packing, quality, secrets, simhash, toxicity, url_cascade, warc
 from .text import hex16
 
 
@@ -20,6 +20,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: A conversation of the contract: texts made of other templates' control strings.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -74,6 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
