@@ -24,7 +24,7 @@ ALPHA = 0.7
 SLOTS_PER_SOURCE = 32
 MAX_SOURCES = 50_000
 #: Documents of a source that are numbered in one task.
-PART = 100_000
+PART = 4096
 
 
 def quantised(weights: dict, slots: int) -> dict:
@@ -66,41 +66,37 @@ def frame_schedule(counts: dict) -> list[tuple]:
 
 
 def numbered(docs: DataFrame, part: int = PART) -> DataFrame:
-    """``docs(doc_id, source, ..)`` with ``nth``: 0, 1, .. within the source, in an order mixed by a hash of the id.
+    """``docs(k1, k2, doc_id, ..)`` with ``nth``: 0, 1, .. within the source ``(k1, k2)``, in an order mixed by a hash of the id.
 
     A source is split by that hash into parts of about ``part`` documents, numbered each in its task; only the parts' counts
-    are added up over the source.
+    are added up over the source. Rows are shuffled once, by source and part, and the join reads that partitioning.
     """
-    sizes = docs.groupBy("source").agg(F.count("*").alias("_n"))
-    split = docs.join(F.broadcast(sizes), docs.source.eqNullSafe(sizes.source)).drop(sizes.source)
-    mixed = F.xxhash64(F.lit("mixing"), "doc_id")
-    parts = F.ceil(F.col("_n") / part).cast("bigint")
-    split = split.withColumn("_h", mixed).withColumn("_part", F.pmod(F.xxhash64("_h"), parts)).drop("_n")
-    inside = W.partitionBy("source", "_part").orderBy("_h", "doc_id")
-    split = split.withColumn("_k", F.row_number().over(inside).cast("bigint") - 1)
-    counts = split.groupBy("source", "_part").agg(F.count("*").alias("_c"))
-    before = counts.select(
-        F.col("source").alias("_s"), F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_c").over(W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
-    joined = split.join(before, split.source.eqNullSafe(before["_s"]) & (split["_part"] == before["_p"]))
-    return joined.withColumn("nth", F.col("_before") + F.col("_k")).drop("_h", "_part", "_k", "_s", "_p", "_before")
-
-
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
+    sizes = docs.groupBy("k1", "k2").agg(F.count("*").alias("_n"))
+    split = docs.join(F.broadcast(sizes), ["k1", "k2"]).withColumn("_h", F.xxhash64(F.lit("mixing"), "doc_id"))
+    split = split.withColumn("_part", F.pmod(F.xxhash64("_h"), F.ceil(F.col("_n") / part).cast("bigint"))).drop("_n")
+    inside = W.partitionBy("k1", "k2", "_part").orderBy("_h", "doc_id")
+    counts = split.groupBy("k1", "k2", "_part").agg(F.count("*").alias("_c"))
+    earlier = W.partitionBy("k1", "k2").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("k1", "k2", "_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    joined = split.withColumn("_k", F.row_number().over(inside).cast("bigint") - 1).join(before, ["k1", "k2", "_part"])
+    return joined.withColumn("nth", F.col("_before") + F.col("_k")).drop("_h", "_part", "_k", "_before")
+
+
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, alpha: float = ALPHA, carry: tuple[str, ...] = (), part: int = PART) -> DataFrame:
     """``doc_id, source, target_weight, nth, block, release, deadline, slot, position`` for each row of ``docs(doc_id, source)``.
 
-    ``slot`` is the block's place in the schedule (slots of sources that ran out are skipped), ``position`` orders the documents:
-    by it, and then by ``doc_id`` where rows repeat, the mixture is read. Null is a source of its own. ``weights`` maps every source
-    to a positive number; without it a source weighs its number of documents to the power ``alpha``. An empty table gives no rows.
+    ``slot`` is the block's place in the schedule (slots of sources that ran out are skipped), ``position`` orders the documents.
+    Null is a source of its own. ``weights`` maps every source to a positive number; without it a source weighs its number
+    of documents to the power ``alpha``. Columns of ``carry`` come along as the struct ``carried``. An empty table gives no rows; repeated
+    rows each have a place.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "source")
-    names = docs.groupBy("source").agg(F.count("*").alias("n"))
-    found = names.limit(MAX_SOURCES + 1).collect()
+    keyed = [F.coalesce("source", F.lit("")).alias("k1"), F.col("source").isNull().alias("k2")]
+    docs = docs.select("doc_id", *keyed, *([F.struct(*carry).alias("carried")] if carry else []))
+    found = docs.groupBy("k1", "k2").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
-    sizes = {r.source: r.n for r in found}
+    sizes = {None if r.k2 else r.k1: r.n for r in found}
     if weights is None:
         weights = {s: n**alpha for s, n in sizes.items()}
     if missing := [s for s in sizes if not weights.get(s, 0) > 0]:
@@ -108,20 +104,24 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, a
     own = {s: weights[s] for s in sizes}
     slots = max(256, 1 << math.ceil(math.log2(max(1, SLOTS_PER_SOURCE * len(own)))))
     counts = quantised(own, slots) if own else {}
-    frame = [(s, j, at, counts[s]) for at, (s, j) in enumerate(frame_schedule(counts))] if own else []
-    table = spark.createDataFrame(frame, "_s string, _j int, _at int, _k int")
-    rows = numbered(docs).withColumn("block", F.floor(F.col("nth") / block))
-    rows = rows.join(_slots_of(table), rows.source.eqNullSafe(F.col("_s")))
-    turn = F.floor(F.col("block") / F.col("_k"))
-    slot = turn * slots + F.get("_slots", F.pmod(F.col("block"), F.col("_k")).cast("int"))
+    frame = [(s or "", s is None, j, at, counts[s]) for at, (s, j) in enumerate(frame_schedule(counts))] if own else []
+    table = spark.createDataFrame(frame, "k1 string, k2 boolean, _j int, _at int, _k int")
+    rows = numbered(docs, part).withColumn("block", F.floor(F.col("nth") / block)).join(_slots_of(table), ["k1", "k2"])
+    slot = F.floor(F.col("block") / F.col("_k")) * slots + F.get("_slots", F.pmod(F.col("block"), F.col("_k")).cast("int"))
     return rows.select(
-        "doc_id", "source", (F.col("_k") / slots).alias("target_weight"), "nth", "block",
+        "doc_id", F.when(~F.col("k2"), F.col("k1")).alias("source"), (F.col("_k") / slots).alias("target_weight"), "nth", "block",
         F.floor(F.col("block") * slots / F.col("_k")).alias("release"), F.ceil((F.col("block") + 1) * slots / F.col("_k")).alias("deadline"),
-        slot.alias("slot"), (slot * block + F.pmod(F.col("nth"), F.lit(block))).alias("position"),
+        slot.alias("slot"), (slot * block + F.pmod(F.col("nth"), F.lit(block))).alias("position"), *(["carried"] if carry else []),
     )
 
 
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, alpha: float = ALPHA) -> DataFrame:
+    """``docs`` sorted by their position in the schedule: every row once, whole. The rows are shuffled twice, to number and to sort them."""
+    placed = schedule(docs, weights, block, alpha, carry=tuple(docs.columns))
+    return placed.select("position", "carried").orderBy("position").select("carried.*")
+
+
 def _slots_of(table: DataFrame) -> DataFrame:
     """One row per source with its slots in order: at most MAX_SOURCES rows and SLOTS_PER_SOURCE * 2 slots for each, so small enough to send."""
-    each = table.groupBy("_s", "_k").agg(F.sort_array(F.collect_list(F.struct("_j", "_at"))).alias("_l"))
-    return F.broadcast(each.select("_s", "_k", F.transform("_l", lambda x: x["_at"]).alias("_slots")))
+    each = table.groupBy("k1", "k2", "_k").agg(F.sort_array(F.collect_list(F.struct("_j", "_at"))).alias("_l"))
+    return F.broadcast(each.select("k1", "k2", "_k", F.transform("_l", lambda x: x["_at"]).alias("_slots")))

@@ -25,16 +25,21 @@ END_ID = 1
 GROUP_IDS = 4 << 20
 #: The shortest piece that topping up cuts off.
 MIN_PIECE = 16
-#: Words that a worker's cache holds before it starts afresh.
-CACHE_WORDS = 300_000
+#: Units that a worker's cache holds before it starts afresh.
+CACHE_UNITS = 700_000
 _CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Outside these characters the tokenizer's classes of letters, digits and blanks aren't taken for granted.
+_OTHER = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ¿¡«»“”‘’–—…€]")
+#: The tokenizer's own split over those characters, in lower case.
+_UNIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class WordTokenizer:
-    """Ids of whole texts by way of a cache of words.
+    """Ids of whole texts by way of a cache of units.
 
-    The tokenizer drops white space and neither normalises nor merges across it, so a text's ids are those of its runs
-    between blanks, one after another.
+    The tokenizer drops white space, lower-cases, cuts a text into letter runs, digits and symbol runs, and merges inside those alone. So a
+    text's ids are those of its units, one after another; a text with other characters than the common Latin ones is
+    cut at blanks only, across which nothing is normalised or merged either.
     """
 
     def __init__(self, path: str):
@@ -53,7 +58,7 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, fresh: list[str]) -> None:
-        for word, coded in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
+        for word, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             k, ids = len(self.at), coded.ids
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -65,16 +70,16 @@ class WordTokenizer:
             self.at[word] = k
 
     def encode(self, text: str) -> np.ndarray:
-        words = _CHUNK.findall(text)
-        if not words:
+        units = _CHUNK.findall(text) if _OTHER.search(text) else _UNIT.findall(text.lower())
+        if not units:
             return np.zeros(0, np.uint32)
-        if len(self.at) > CACHE_WORDS:
+        if len(self.at) > CACHE_UNITS:
             self.clear()
         try:
-            index = np.array([self.at[w] for w in words])
+            index = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
         except KeyError:
-            self._learn(list({w: None for w in words if w not in self.at}))
-            index = np.array([self.at[w] for w in words])
+            self._learn([u for u in dict.fromkeys(units) if u not in self.at])
+            index = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
         return self.ids[np.repeat(self.starts[index] - ends + lengths, lengths) + np.arange(ends[-1])]

@@ -54,7 +54,10 @@ def test_weights_parts_and_edges(spark, edge_docs, empty_docs):
     rows = mixing.schedule(df, weights, block=3).collect()
     check(rows, Counter(r.source for r in df.collect()), 3)
     assert abs(next(r.target_weight for r in rows if r.source == "hot") - 5 / 12) < 0.01
-    small = mixing.numbered(df.select("doc_id", "source"), part=10).collect()
-    assert {s: sorted(r.nth for r in small if r.source == s) for s in weights} == {s: list(range(n)) for s, n in Counter(r.source for r in small).items()}
+    small = mixing.schedule(df, weights, block=3, part=10).collect()
+    check(small, Counter(r.source for r in df.collect()), 3)
+    order = {r.doc_id: r.position for r in mixing.schedule(df).collect()}
+    whole = [(r.doc_id, r.slot) for r in mixing.mixed(df).collect()]
+    assert [d for d, _ in whole] == sorted(order, key=order.get) and {s for _, s in whole} == {2}
     with pytest.raises(ValueError):
         mixing.schedule(df, {"hot": 1.0})
