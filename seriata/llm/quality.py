@@ -21,7 +21,7 @@ from .text import BLANKS, whole, words
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Production parameters of the MCD: share of documents in a concentration step, documents for a group of its own,
-#: probability that a clean Gaussian document stays, most steps.
+#: probability that a clean Gaussian document stays, concentration steps (as many at every size of input).
 H, MIN_GROUP, KEEP, STEPS = 0.7, 100, 0.9999, 10
 #: Groups whose parameters are sent to every task (about 300 bytes each); with more they are joined by shuffle.
 MAX_SENT_GROUPS = 20_000
@@ -187,16 +187,12 @@ def _sent(groups: DataFrame) -> DataFrame:
 
 def fit_mcd(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
     """``g, n, m.., l..``: reweighted MCD centre and Cholesky factor for each group of ``rows(g, x0..)``."""
-    params, told, bin_ = _median_start(rows), None, F.floor(F.log(_distance() + 1e-9) * 32).alias("b")
-    log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), F.log(F.col("l00")))
+    params, bin_ = _median_start(rows), F.floor(F.log(_distance() + 1e-9) * 32).alias("b")
     for _ in range(steps):
         near = rows.join(_sent(params), "g").select("g", *_NAMES, bin_)
         cut, cut_path = stored(_quantile_bins(near, ["g"], "b", h, "cut"), "cut")
         params, _ = stored(_moments(near.join(_sent(cut), "g").where("b <= cut"), consistency(h, _P)), "mcd")
         remove(rows.sparkSession, cut_path)
-        last, told = told, params.agg(F.sum(log_det)).first()[0]
-        if told is None or last is not None and abs(told - last) <= 1e-6 * (1 + abs(told)):
-            break
     inner = rows.join(_sent(params), "g").where(_distance() <= chi2_quantile(0.975, _P)).select("g", *_NAMES)
     return stored(_moments(inner, consistency(0.975, _P)), "mcd")[0]
 
