@@ -22,7 +22,8 @@ def total(parts: Iterable[Column]) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+    """``x`` within bounds; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.least(F.lit(hi), F.greatest(F.lit(lo), x)))
 
 
 def dot(a: Column, b: Column) -> Column:

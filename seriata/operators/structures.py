@@ -7,7 +7,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -195,7 +195,7 @@ def rmsd_rg(df: DataFrame, points: str, reference: np.ndarray, masses: np.ndarra
     return out.withColumns({"rmsd": F.col("_g.rmsd"), "rg": F.col("_g.rg")}).drop("_g")
 
 
-def unwrapped(df: DataFrame, coordinate: Column, box: float, order) -> Column:
+def unwrapped(coordinate: Column, box: float, order: WindowSpec) -> Column:
     """One orthorhombic coordinate unwrapped in the JVM: the running sum of nearest-image steps over the replica's order."""
     step = coordinate - F.lag(coordinate).over(order)
     return F.first(coordinate).over(order) + F.sum(F.coalesce(step - box * F.floor(step / box + 0.5), F.lit(0.0))).over(order)
