@@ -135,4 +135,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL}
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), marked AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS best FROM p
+), told AS (SELECT *, n >= {warc.MIN_DEDUP_BYTES} AND best IS NOT NULL AND (page_id IS NULL OR page_id < best) AS again FROM marked)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN best END AS refers_to
+FROM told
+"""
+
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_warc": OP8_SQL}
