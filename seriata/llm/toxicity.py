@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 One weight per feature is shared by all thresholds: P(grade > k) = sigmoid(w . x - b_k) with b_0 < b_1 < .. . Features are the
-words of a text and the score is built so that its length doesn't matter: a word counts log(1 + occurrences), and the L1 penalty
+words of a text and the score is built so that its length doesn't matter: a word counts log(1 + occurrences per PER words), and the L1 penalty
 leaves weights only to words that tell. The output is the expected severity, the sum of P(grade > k).
 """
 
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 5000
 SAMPLE_CHARS = 24_000_000
 MIN_ROWS_OF_WORD = 5
+PER = 1000
 #: A word becomes a feature if the shares of toxic and other rows that have it differ by so many standard errors.
 MIN_Z = 4.5
 L1, STEPS = 1e-3, 300
 #: Grades: 0 not toxic, then the toxic rows by their share of telling words, split at the median.
 GRADES = 3
-FLAG_AT = 0.4
+FLAG_AT = 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,8 +45,9 @@ class OrdinalModel:
     thresholds: list[float]
 
     def score(self, text: str | None) -> float:
-        found = Counter(filter(self.weights.__contains__, text_words(text)))
-        return sum(self.weights[w] * math.log1p(n) for w, n in found.items())
+        words = text_words(text)
+        found = Counter(filter(self.weights.__contains__, words))
+        return sum(self.weights[w] * math.log1p(PER * n / len(words)) for w, n in found.items())
 
     def bare(self) -> float:
         """P(grade > 0) of a text without telling words."""
@@ -99,9 +101,10 @@ def fit(texts: list[str | None], toxic: list[int], l1: float = L1, steps: int =
         return OrdinalModel({}, [20.0, 21.0])
     rows, cols, vals = [], [], []
     for r, c in enumerate(counts):
+        size = sum(c.values())
         for w, n in c.items():
             if w in vocabulary:
-                rows.append(r), cols.append(vocabulary[w]), vals.append(math.log1p(n))
+                rows.append(r), cols.append(vocabulary[w]), vals.append(math.log1p(PER * n / size))
     rows, cols, vals = np.array(rows), np.array(cols), np.array(vals)
     present = [g for g in range(GRADES) if (y == g).any()]
     weight = np.zeros(len(y))
