@@ -164,11 +164,11 @@ def _quantile_bins(rows: DataFrame, keys: list[str], value: str, share: float, a
 _GRID = 256.0
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
+def _median_start(rows: DataFrame, send: bool) -> DataFrame:
     """Medians and MADs of each feature, on a grid of 1/256, as centre and diagonal covariance."""
     long = rows.select("g", F.posexplode(F.array(*_NAMES)).alias("f", "x"))
     med, med_path = stored(_quantile_bins(long.withColumn("b", F.floor(F.col("x") * _GRID)), ["g", "f"], "b", 0.5, "med"), "median")
-    dev = long.join(_sent(med), ["g", "f"]).withColumn("b", F.floor(F.abs(F.col("x") * _GRID - F.col("med") - 0.5)))
+    dev = long.join(_sent(med, send), ["g", "f"]).withColumn("b", F.floor(F.abs(F.col("x") * _GRID - F.col("med") - 0.5)))
     mad = _quantile_bins(dev, ["g", "f"], "b", 0.5, "mad")
     both = med.join(mad, ["g", "f"]).groupBy("g").agg(
         *[F.max(F.when(F.col("f") == i, (F.col("med") + 0.5) / _GRID)).alias(f"m{i}") for i in range(_P)],
@@ -181,19 +181,28 @@ def _median_start(rows: DataFrame) -> DataFrame:
     return start
 
 
-def _sent(groups: DataFrame) -> DataFrame:
-    return F.broadcast(groups) if groups.select("g").distinct().limit(MAX_SENT_GROUPS + 1).count() <= MAX_SENT_GROUPS else groups
+def _few(groups: DataFrame) -> bool:
+    """Whether a table with one row per group is small enough to be sent to every task."""
+    return groups.limit(MAX_SENT_GROUPS + 1).count() <= MAX_SENT_GROUPS
 
 
-def fit_mcd(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
-    """``g, n, m.., l..``: reweighted MCD centre and Cholesky factor for each group of ``rows(g, x0..)``."""
-    params, bin_ = _median_start(rows), F.floor(F.log(_distance() + 1e-9) * 32).alias("b")
+def _sent(groups: DataFrame, send: bool) -> DataFrame:
+    return F.broadcast(groups) if send else groups
+
+
+def fit_mcd(rows: DataFrame, h: float = H, steps: int = STEPS, send: bool | None = None) -> DataFrame:
+    """``g, n, m.., l..``: reweighted MCD centre and Cholesky factor for each group of ``rows(g, x0..)``.
+
+    ``send`` tells whether the groups are few enough for their parameters to be sent to every task; without it they are counted. No later table has more groups.
+    """
+    send = _few(rows.select("g").distinct()) if send is None else send
+    params, bin_ = _median_start(rows, send), F.floor(F.log(_distance() + 1e-9) * 32).alias("b")
     for _ in range(steps):
-        near = rows.join(_sent(params), "g").select("g", *_NAMES, bin_)
+        near = rows.join(_sent(params, send), "g").select("g", *_NAMES, bin_)
         cut, cut_path = stored(_quantile_bins(near, ["g"], "b", h, "cut"), "cut")
-        params, _ = stored(_moments(near.join(_sent(cut), "g").where("b <= cut"), consistency(h, _P)), "mcd")
+        params, _ = stored(_moments(near.join(_sent(cut, send), "g").where("b <= cut"), consistency(h, _P)), "mcd")
         remove(rows.sparkSession, cut_path)
-    inner = rows.join(_sent(params), "g").where(_distance() <= chi2_quantile(0.975, _P)).select("g", *_NAMES)
+    inner = rows.join(_sent(params, send), "g").where(_distance() <= chi2_quantile(0.975, _P)).select("g", *_NAMES)
     return stored(_moments(inner, consistency(0.975, _P)), "mcd")[0]
 
 
@@ -214,18 +223,18 @@ def judge(docs: DataFrame, carry: list[str], keep: float = KEEP, min_group: int
     passed = table.where("not base_failed").select(F.explode("_g").alias("g"), *_NAMES)
     enough = passed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= min_group).select("g")
     enough, _ = stored(enough, "groups")
-    params = fit_mcd(passed.join(_sent(enough), "g"))
-    return _with_verdict(table, params, chi2_quantile(keep, _P))
+    send = _few(enough)
+    params = fit_mcd(passed.join(_sent(enough, send), "g"), send=send)
+    return _with_verdict(table, params, chi2_quantile(keep, _P), send)
 
 
-def _with_verdict(table: DataFrame, params: DataFrame, cut: float) -> DataFrame:
+def _with_verdict(table: DataFrame, params: DataFrame, cut: float, send: bool) -> DataFrame:
     """The first of a row's groups that has a fit judges it; three joins on small keys, no row gathered."""
     out = table
     verdicts = []
     for k in range(3):
         mine = params.select(F.col("g").alias(f"_g{k}"), F.struct(*[F.col(c) for c in params.columns if c != "g"]).alias(f"_p{k}"))
-        mine = F.broadcast(mine) if params.limit(MAX_SENT_GROUPS + 1).count() <= MAX_SENT_GROUPS else mine
-        out = out.withColumn(f"_g{k}", F.get("_g", F.lit(k))).join(mine, f"_g{k}", "left")
+        out = out.withColumn(f"_g{k}", F.get("_g", F.lit(k))).join(_sent(mine, send), f"_g{k}", "left")
         verdicts.append(F.col(f"_p{k}"))
     out = out.withColumn("_p", F.coalesce(*verdicts)).select("*", *[F.col("_p")[f"m{i}"].alias(f"m{i}") for i in range(_P)], *[F.col("_p")[f"l{i}{j}"].alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)])
     kept = ~F.col("base_failed") & F.coalesce(_distance() <= cut, F.lit(True))
