@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars
-from ..operators import clustering, graphs, information, joins, learning, linear, markov, occupancy, structures, summaries
+from ..operators import bonding, clustering, graphs, information, joins, learning, linear, markov, occupancy, structures, summaries
 from ..operators.runs import presence_islands as islands
 from ..operators.runs import time_folds
 from .bindings import DIMS, PRESENCE, SERIES, VECTORS, frames, presence, series, table, vectors
@@ -270,6 +270,19 @@ def ring_and_coordination(spark, sf_dir):
     return made.select("vec_id", "s.max_departure", "s.shape", "s.angle_rms", "s.fit_rmsd")
 
 
+@query(
+    f"""WITH {_PAIRS} SELECT 'error' AS severity, 'near_coincident' AS code, frame, CAST(left_id AS VARCHAR) || '-' || CAST(right_id AS VARCHAR) AS location FROM pairs WHERE distance <= 0.02 AND left_id < right_id"""
+)
+def structural_gates(spark, sf_dir):
+    return bonding.structural_issues(_points(spark, sf_dir), 10.0, 0.2, 0.02)
+
+
+@query(None, "x y z occupancy rmsd")
+def stable_sites(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return bonding.stable_sites(p.select("frame", "x", "y", "z"), p.select("frame").distinct().count(), 0.1, 0.5)
+
+
 # --- partitions -------------------------------------------------------------------------------------------------
 
 _MEANS = "centers AS (SELECT label AS cluster, [" + ", ".join(f"avg({c})" for c in DIMS) + "] AS c FROM vectors GROUP BY label)"
