@@ -10,6 +10,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import public_tokenizers
@@ -21,9 +22,15 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a random string at least.
+MIN_RANDOM = 20
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
+_SEPARATORS = frozenset("/_=+-")
+_PARTS = re.compile(r"[/_=+-]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:md5|sha1|sha256|sha384|sha512)?[-_=]?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
+#: UUIDs and digests that stand between separators.
+_NAMED = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_DIGEST.pattern})(?![A-Za-z0-9])", re.IGNORECASE)
 #: Production parameters: vocabulary, most characters per token of a random string.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_RATIO = 2.0
@@ -54,21 +61,60 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _windows(s: str, path: str, max_ratio: float) -> list[tuple[int, int]]:
+    """Stretches of ``s`` whose windows of MIN_RANDOM characters or just over hold few characters per token, widened to the nearest separators."""
+    ends = [0, *accumulate(map(len, _encoding(path).decode_tokens_bytes(_encoding(path).encode_ordinary(s))))]
+    out: list[tuple[int, int]] = []
+    j = 0
+    for i, a in enumerate(ends):
+        while j < len(ends) and ends[j] - a < MIN_RANDOM:
+            j += 1
+        if j == len(ends):
+            break
+        if ends[j] - a <= max_ratio * (j - i):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], ends[j])
+            else:
+                out.append((a, ends[j]))
+    wide: list[tuple[int, int]] = []
+    for a, b in out:
+        while a and s[a - 1] not in _SEPARATORS and s[a] not in _SEPARATORS:
+            a -= 1
+        while b < len(s) and s[b] not in _SEPARATORS and s[b - 1] not in _SEPARATORS:
+            b += 1
+        if wide and a <= wide[-1][1]:
+            wide[-1] = (wide[-1][0], b)
+        else:
+            wide.append((a, b))
+    return wide
+
+
+def _unnamed(s: str) -> bool:
+    """A part between separators is too long for paths, snake_case names and dates, and isn't a number."""
+    return any(len(p) >= 12 and not p.isdigit() for p in _PARTS.split(s))
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], path: str, max_ratio: float = MAX_RATIO, known: frozenset[str] = KNOWN) -> list[tuple[int, int, str]]:
-    """Long strings of mixed characters with few characters per token, outside ``taken``."""
+    """Long strings with few characters per token, outside ``taken``: a whole candidate, or else the stretches of it that are so by themselves.
+
+    A readable key or path around a random stretch doesn't hide it, nor does a span of ``taken``, a digest or a UUID beside it.
+    """
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+        if not any(c.isalpha() for c in s) or max(map(len, _PARTS.split(s))) < 12:
             continue
         if _UUID.fullmatch(s) or _DIGEST.fullmatch(s) or s.lower() in known:
             continue
-        if max(map(len, re.split(r"[/_=+-]+", s))) < 12:  # paths, snake_case names, dates
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        if len(s) <= max_ratio * len(_encoding(path).encode_ordinary(s)):
+        cut = sorted((max(a - m.start(), 0), min(b - m.start(), len(s))) for a, b, _ in taken if a < m.end() and m.start() < b)
+        if not cut and len(s) <= max_ratio * len(_encoding(path).encode_ordinary(s)):
             out.append((m.start(), m.end(), "random"))
+            continue
+        at = 0
+        for a, b in sorted(cut + [x.span() for x in _NAMED.finditer(s)]) + [(len(s), len(s))]:
+            if a - at >= MIN_RANDOM:
+                out += [(m.start() + at + x, m.start() + at + y, "random") for x, y in _windows(s[at:a], path, max_ratio) if _unnamed(s[at + x : at + y])]
+            at = max(at, b)
     return out
 
 

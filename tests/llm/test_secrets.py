@@ -61,6 +61,26 @@ def test_random_strings_are_told_from_names():
         assert S.find_spans(f"see {name} here", path) == []
 
 
+def test_random_strings_beside_readable_ones():
+    path = public_tokenizers.path(S.VOCABULARY)
+    rng = random.Random(2)
+    mixed = string.ascii_letters + string.digits
+    for before, alphabet, k in (("database_connection_string=", mixed, 24), ("production-service-account-credential=", mixed, 32), ("/home/user/config/", mixed + "+/", 40), ("", string.ascii_letters, 24)):
+        whole = 0
+        for _ in range(100):
+            key = "".join(rng.choices(alphabet, k=k))
+            at = 4 + len(before)
+            covered = {i for a, b, _ in S.find_spans(f"see {before}{key} now", path) for i in range(a, b)}
+            whole += set(range(at, at + k)) <= covered
+        assert whole >= 97, before
+    key = "".join(rng.choices(mixed, k=32))
+    text = f"see {'0a' * 16}/deploy/{key} now"
+    (a, b, first), (c, d, second) = S.find_spans(text, path)
+    assert (text[a:b], first, second) == ("0a" * 16, "hex", "random") and b <= c and text[c:d].endswith(key)
+    for name in ("internationalization_documents_handler", "invoices/12345678901234567890123/archive"):
+        assert S.find_spans(f"see {name} here", path) == []
+
+
 def test_edges_and_redaction(spark, edge_docs, empty_docs):
     assert S.secret_spans(empty_docs).count() == 0 and S.redact(empty_docs).count() == 0
     assert S.secret_spans(edge_docs).count() == 12
