@@ -1,28 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents form blocks of equal size. Block j of a source with weight w may start from slot floor((j - 1) / w)
-and must run before slot ceil(j / w); of the blocks released, the earliest deadline goes first. As the weights are multiples of
-1 / K, the schedule repeats after K slots: the driver works out one frame, and every document finds its slot from its
-number within its source. Up to the slot where a first source runs out, each source is less than one block away
-from its target share; from there on the slots of sources that ran out stay empty, so the others keep their
-proportions. No document is dropped or repeated.
+and must run before slot ceil(j / w); of the blocks released, the earliest deadline goes first. Releases and deadlines come from
+the exact weights, for every block of the run, so at any length each source that hasn't run out is less than one block away
+from its target share. The driver schedules the blocks one after another and hands them out in bounded chunks; every
+document finds its slot from its number within its source. A source that ran out leaves its slots to released blocks
+of others or empty; as no block starts before its release, the others keep their proportions. No document is
+dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seriata.llm.storage import new_path
+
 #: Production parameters: documents in a block; a source's weight goes with the power ALPHA of its number of documents.
 BLOCK = 16
 ALPHA = 0.7
-#: Slots of a frame at least, for each source; most sources.
-SLOTS_PER_SOURCE = 32
-MAX_SOURCES = 50_000
+#: Blocks that the driver hands out at once; up to so many in all are sent to every task, more are joined by a shuffle.
+CHUNK = 1 << 20
 #: Documents of a source that are numbered in one task.
 PART = 4096
 
@@ -45,24 +51,49 @@ def quantised(weights: dict, slots: int) -> dict:
     return out
 
 
+def whole_weights(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    exact = {w: Fraction(w) for w in set(weights)}
+    scale = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    whole = {w: int(x * scale) for w, x in exact.items()}
+    return [whole[w] for w in weights]
+
+
+def block_schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, number of its block, release, deadline, slot) by slot: earliest deadline first among released blocks.
+
+    ``blocks`` has the number of blocks of each source, one at least. Slots in which no block is released stay empty.
+    """
+    total = sum(weights)
+    first = {w: -(-total // w) for w in set(weights)}
+    fresh = sorted(range(len(weights)), key=lambda i: first[weights[i]])  # their first blocks, all released at 0
+    waiting: list[tuple[int, int, int]] = []  # release, source, block
+    ready: list[tuple[int, int, int, int]] = []  # deadline, source, block, release
+    at = slot = 0
+    while at < len(fresh) or ready or waiting:
+        while waiting and waiting[0][0] <= slot:
+            release, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[i]), i, j, release))
+        if at < len(fresh) and (not ready or (first[weights[fresh[at]]], fresh[at]) < ready[0]):
+            deadline, i, j, release = first[weights[fresh[at]]], fresh[at], 0, 0
+            at += 1
+        elif ready:
+            deadline, i, j, release = heapq.heappop(ready)
+        else:
+            slot = waiting[0][0]
+            continue
+        assert deadline > slot, "the weights overload the schedule"
+        yield i, j, release, deadline, slot
+        if j + 1 < blocks[i]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[i], i, j + 1))
+        slot += 1
+
+
 def frame_schedule(counts: dict) -> list[tuple]:
-    """(source, number of its block within the frame) for each slot: earliest deadline first among released blocks."""
-    slots = sum(counts.values())
+    """(source, number of its block) for each slot of a frame that holds ``counts`` blocks of each source."""
     names = sorted(counts, key=lambda s: (s is None, s or ""))
-    waiting = [(0, i, 1) for i in range(len(names))]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(slots):
-        while waiting and waiting[0][0] <= slot:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * slots // counts[names[i]]), i, j))
-        deadline, i, j = heapq.heappop(ready)
-        assert deadline > slot, "the weights overload the frame"
-        out.append((names[i], j - 1))
-        if j < counts[names[i]]:
-            heapq.heappush(waiting, (j * slots // counts[names[i]], i, j + 1))
-    return out
+    each = [counts[s] for s in names]
+    return [(names[i], j) for i, j, *_ in block_schedule(each, each)]
 
 
 def numbered(docs: DataFrame, part: int = PART) -> DataFrame:
@@ -93,25 +124,23 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, a
     spark = docs.sparkSession
     keyed = [F.coalesce("source", F.lit("")).alias("k1"), F.col("source").isNull().alias("k2")]
     docs = docs.select("doc_id", *keyed, *([F.struct(*carry).alias("carried")] if carry else []))
-    found = docs.groupBy("k1", "k2").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
-    sizes = {None if r.k2 else r.k1: r.n for r in found}
+    sizes = docs.groupBy("k1", "k2").agg(F.count("*").alias("n")).toArrow().sort_by([("k2", "ascending"), ("k1", "ascending")])
+    counts = sizes["n"].to_pylist()
     if weights is None:
-        weights = {s: n**alpha for s, n in sizes.items()}
-    if missing := [s for s in sizes if not weights.get(s, 0) > 0]:
-        raise ValueError(f"no positive weight for {missing[:5]}")
-    own = {s: weights[s] for s in sizes}
-    slots = max(256, 1 << math.ceil(math.log2(max(1, SLOTS_PER_SOURCE * len(own)))))
-    counts = quantised(own, slots) if own else {}
-    frame = [(s or "", s is None, j, at, counts[s]) for at, (s, j) in enumerate(frame_schedule(counts))] if own else []
-    table = spark.createDataFrame(frame, "k1 string, k2 boolean, _j int, _at int, _k int")
-    rows = numbered(docs, part).withColumn("block", F.floor(F.col("nth") / block)).join(_slots_of(table), ["k1", "k2"])
-    slot = F.floor(F.col("block") / F.col("_k")) * slots + F.get("_slots", F.pmod(F.col("block"), F.col("_k")).cast("int"))
+        own = [n**alpha for n in counts]
+    else:
+        names = [None if null else s for s, null in zip(sizes["k1"].to_pylist(), sizes["k2"].to_pylist(), strict=True)]
+        if missing := [s for s in names if not weights.get(s, 0) > 0]:
+            raise ValueError(f"no positive weight for {missing[:5]}")
+        own = [weights[s] for s in names]
+    blocks = [-(-n // block) for n in counts]
+    table = spark.read.schema(_PLACE).parquet(_placed(spark, sizes, whole_weights(own), blocks))
+    if sum(blocks) <= CHUNK:
+        table = F.broadcast(table)
+    rows = numbered(docs, part).withColumn("block", F.floor(F.col("nth") / block)).join(table, ["k1", "k2", "block"])
     return rows.select(
-        "doc_id", F.when(~F.col("k2"), F.col("k1")).alias("source"), (F.col("_k") / slots).alias("target_weight"), "nth", "block",
-        F.floor(F.col("block") * slots / F.col("_k")).alias("release"), F.ceil((F.col("block") + 1) * slots / F.col("_k")).alias("deadline"),
-        slot.alias("slot"), (slot * block + F.pmod(F.col("nth"), F.lit(block))).alias("position"), *(["carried"] if carry else []),
+        "doc_id", F.when(~F.col("k2"), F.col("k1")).alias("source"), "target_weight", "nth", "block", "release", "deadline",
+        "slot", (F.col("slot") * block + F.pmod(F.col("nth"), F.lit(block))).alias("position"), *(["carried"] if carry else []),
     )
 
 
@@ -121,7 +150,29 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, alph
     return placed.select("position", "carried").orderBy("position").select("carried.*")
 
 
-def _slots_of(table: DataFrame) -> DataFrame:
-    """One row per source with its slots in order: at most MAX_SOURCES rows and SLOTS_PER_SOURCE * 2 slots for each, so small enough to send."""
-    each = table.groupBy("k1", "k2", "_k").agg(F.sort_array(F.collect_list(F.struct("_j", "_at"))).alias("_l"))
-    return F.broadcast(each.select("k1", "k2", "_k", F.transform("_l", lambda x: x["_at"]).alias("_slots")))
+_PLACE = "k1 string, k2 boolean, target_weight double, block long, release long, deadline long, slot long"
+
+
+def _placed(spark, sizes: pa.Table, weights: list[int], blocks: list[int]) -> str:
+    """Where the places of all blocks are, written CHUNK blocks at a time."""
+    path = new_path(spark, "mixing")
+    total = sum(weights)
+    share = {w: w / total for w in set(weights)}
+
+    def write(cols: list[array]) -> None:
+        of = sizes.select(["k1", "k2"]).take(pa.array(cols[0], pa.int64()))
+        made = of.append_column("target_weight", pa.array([share[weights[i]] for i in cols[0]], pa.float64()))
+        for name, c in zip(("block", "release", "deadline", "slot"), cols[1:], strict=True):
+            made = made.append_column(name, pa.array(c, pa.int64()))
+        spark.createDataFrame(made, _PLACE).write.mode("append").parquet(path)
+
+    held = [array("q") for _ in range(5)]
+    for row in block_schedule(weights, blocks):
+        for c, v in zip(held, row, strict=True):
+            c.append(v)
+        if len(held[0]) >= CHUNK:
+            write(held)
+            held = [array("q") for _ in range(5)]
+    if held[0] or not blocks:
+        write(held)
+    return path

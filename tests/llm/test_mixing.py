@@ -20,6 +20,31 @@ def test_frame_stays_within_a_block(weights):
         assert all(abs(done[x] - (t + 1) * c / 256) < 1 for x, c in counts.items())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(1e-4, 1e4), st.integers(1, 200)), min_size=1, max_size=12))
+def test_blocks_stay_within_one_of_exact_weights(sources):
+    weights, blocks = mixing.whole_weights([w for w, _ in sources]), [n for _, n in sources]
+    total, done, last = sum(weights), [0] * len(weights), -1
+    for i, j, release, deadline, slot in mixing.block_schedule(weights, blocks):
+        assert slot > last and j == done[i] and j * total // weights[i] == release <= slot < deadline == -(-(j + 1) * total // weights[i])
+        done[i], last = done[i] + 1, slot
+        assert all(n == blocks[k] or abs(n * total - (slot + 1) * w) < total for k, (n, w) in enumerate(zip(done, weights, strict=True)))
+    assert done == blocks
+
+
+def test_skewed_weights_and_chunks(spark, monkeypatch):
+    df = spark.range(20000).selectExpr("id as doc_id", "if(id < 16000, 'large', 'small') as source")
+    rows = mixing.schedule(df, {"large": 1000.0, "small": 1.0}, block=1).collect()
+    check(rows, Counter(r.source for r in rows), 1)
+    assert {r.source: r.target_weight for r in rows} == {"large": 1000 / 1001, "small": 1 / 1001}
+    assert sum(r.source == "small" and r.slot < 16000 for r in rows) in (15, 16)
+    monkeypatch.setattr(mixing, "CHUNK", 3000)
+    assert sorted(mixing.schedule(df, {"large": 1000.0, "small": 1.0}, block=1).collect()) == sorted(rows)
+    many = spark.range(60000).selectExpr("id as doc_id", "cast(id as string) as source")
+    monkeypatch.undo()
+    assert mixing.schedule(many).agg({"slot": "max"}).first()[0] == 59999
+
+
 def check(rows, sizes, block):
     assert len(rows) == sum(sizes.values()) and Counter(r.source for r in rows) == sizes
     for s, n in sizes.items():
