@@ -40,8 +40,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
-    return packing.pack_documents(docs)
+    """One row per piece of a document in a sequence. Groups are consecutive stretches of the files' order, so sequences follow the mixing schedule."""
+    return packing.pack_documents(packing.stretches(docs), stretch="stretch")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,6 +1,6 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, run independently in randomised groups of documents.
 
-Documents are dealt to partitions by a hash; a partition packs one bounded group after another, so memory doesn't grow
+Documents are dealt to partitions by a hash, or by stretches of their order; a partition packs one bounded group after another, so memory doesn't grow
 with the input, and a lost partition is packed anew on its own. What first-fit decreasing leaves open is closed by cutting
 pieces of the emptiest bins, so that only one sequence of a group stays short.
 """
@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,8 @@ SEQUENCE = 2048
 END_ID = 1
 #: A group closes when it holds so many ids.
 GROUP_IDS = 4 << 20
+#: Rows of a consecutive stretch, where the order of the rows counts.
+STRETCH = 1024
 #: The shortest piece that topping up cuts off.
 MIN_PIECE = 16
 #: Units that a worker's cache holds before it starts afresh.
@@ -153,11 +156,30 @@ def pack(lengths: list[int], capacity: int = SEQUENCE, min_piece: int = MIN_PIEC
     return bins + [b for b in opened if b]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = SEQUENCE, group_ids: int = GROUP_IDS, with_ids: bool = False) -> DataFrame:
+def stretches(docs: DataFrame, rows: int = STRETCH) -> DataFrame:
+    """``docs``, as read from Parquet files, with ``stretch``: the number of its run of ``rows`` consecutive rows, by file and place in the file.
+
+    One count for each file comes to the driver. Files are in the order of the number that Spark gave to their part.
+    """
+    placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = {r[0]: r[1] for r in placed.groupBy("_file").count().collect()}
+    order = sorted(counts, key=lambda f: (int(m[1]) if (m := re.match(r"part-(\d+)", f)) else -1, f))
+    before = list(zip(order, accumulate((counts[f] for f in order), initial=0), strict=False))
+    table = docs.sparkSession.createDataFrame(before, "_file string, _before long")
+    at = F.floor((F.col("_before") + F.col("_row")) / rows)
+    return placed.join(F.broadcast(table), "_file").withColumn("stretch", at).drop("_file", "_row", "_before")
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = SEQUENCE, group_ids: int = GROUP_IDS, with_ids: bool = False, stretch: str | None = None
+) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids`` if asked for).
 
     A document's ids are its tokens and the end id. Null text counts as empty (the end id alone); repeated rows are packed
     each; extra columns are ignored; an empty table gives no rows. The text is shuffled once, by a hash of id and text.
+
+    With ``stretch``, a column of numbers from 0 on, rows of different stretches never share a group, rows are mixed by that hash inside their
+    stretch alone, and sequences are numbered in the order of the stretches.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
 
@@ -166,7 +188,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
         from pyspark import TaskContext
 
         tokens = tokenizer_at(public_tokenizers.path(tokenizer))
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = 0 if stretch else TaskContext.get().partitionId() << 40
+        now = None
         names: list = []
         held: list[np.ndarray] = []
         count = 0
@@ -190,7 +213,12 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
             return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, run in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if stretch else repeat(None, len(batch)), strict=True):
+                if run != now:
+                    if held:
+                        yield close()
+                        names, held, count = [], [], 0
+                    now, sequence = run, run << 32
                 ids = np.append(tokens.encode(text.as_py() or ""), np.uint32(END_ID))
                 names.append(doc_id)
                 held.append(ids)
@@ -201,5 +229,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
         if held:
             yield close()
 
-    dealt = docs.select("doc_id", "text").repartition(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("packing")))
+    mix = F.xxhash64("doc_id", F.xxhash64("text"), F.lit("packing"))
+    if stretch:
+        runs = docs.select("doc_id", "text", F.col(stretch).cast("bigint").alias("stretch"), mix.alias("_mix")).repartition("stretch")
+        dealt = runs.sortWithinPartitions("stretch", "_mix").drop("_mix")
+    else:
+        dealt = docs.select("doc_id", "text").repartition(mix)
     return dealt.mapInArrow(pack_groups, schema)

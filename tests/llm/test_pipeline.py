@@ -90,3 +90,17 @@ def test_stages(spark, tmp_path):
     pieces = seen["packing"]
     assert pieces.groupby("doc_id").length.sum().to_dict() == sizes
     assert pieces.groupby("sequence_id").length.sum().max() <= packing.SEQUENCE
+
+
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    made = spark.range(6000).selectExpr("id as doc_id", "concat('some words of document ', id) as text", "'en' as lang", "if(id % 3 = 0, 'a', concat('b', id % 2)) as source", "30L as n_chars")
+    P.source_mixing(spark, made, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    P.sequence_packing(spark, mixed, "").write.parquet(f"{tmp_path}/packed")
+    pieces = pd.read_parquet(f"{tmp_path}/packed")
+    order = P.mixing.schedule(made).toPandas().sort_values("position").doc_id.tolist()
+    place = {d: k // packing.STRETCH for k, d in enumerate(order)}
+    assert (pieces.sequence_id // 2**32 == pieces.doc_id.map(place)).all() and pieces.doc_id.nunique() == 6000
+    again = P.sequence_packing(spark, mixed, "").toPandas()
+    key = ["sequence_id", "offset"]
+    assert again.sort_values(key).reset_index(drop=True).equals(pieces.sort_values(key).reset_index(drop=True))
