@@ -102,6 +102,37 @@ def effective_sample_size(rho: DataFrame) -> DataFrame:
     return sizes.join(sums, ["system_id", "replica_id"]).select("system_id", "replica_id", "n", "positive_lags", F.when(ok, tau).alias("tau"), F.when(ok, F.least(F.col("n").cast("double"), F.col("n") / tau)).alias("ess"))
 
 
+def whole_effective_sample_size(df: DataFrame, value: str, block: int = 12) -> DataFrame:
+    """``effective_sample_size`` over all lags up to the first that isn't positive.
+
+    Window passes give the first ``block`` lags. A replica that is positive at all of them goes whole to one task, where Fourier
+    transforms give all its lags; missing values are left out of a lag's pairs there too.
+    """
+    ids = ["system_id", "replica_id"]
+    short = effective_sample_size(autocorrelation(df, value, block))
+    left = df.join(short.where(F.col("positive_lags") == block).select(*ids), ids, "left_semi").select(*ids, ORD, F.col(value).cast("double").alias("_value"))
+
+    def all_lags(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        x = rows.sort_values(ORD)["_value"].to_numpy(float)
+        there = ~np.isnan(x)
+        n, size = int(there.sum()), 1 << (2 * len(x) - 1).bit_length()
+        d = np.where(there, x - x[there].mean(), 0.0)
+        power = lambda v: np.fft.irfft(np.abs(np.fft.rfft(v, size)) ** 2, size)[: len(x)]
+        pairs = np.rint(power(there.astype(float)))
+        rho = np.divide(power(d), pairs, out=np.zeros(len(x)), where=pairs > 0)[1:] / x[there].var()
+        closed = np.flatnonzero(~(rho > 0))
+        k = int(closed[0]) if len(closed) else len(rho)
+        tau = max(1.0, 1 + 2 * float(rho[:k].sum()))
+        return pd.DataFrame([(*key, k, tau, min(float(n), n / tau))], columns=[*ids, "_k", "_tau", "_ess"])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    long = left.groupBy(*ids).applyInPandas(all_lags, ", ".join(f"{i} {types[i]}" for i in ids) + ", _k long, _tau double, _ess double")
+    return short.join(long, ids, "left").select(*ids, "n", *[F.coalesce(a, b).alias(b) for a, b in (("_k", "positive_lags"), ("_tau", "tau"), ("_ess", "ess"))])
+
+
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group under a total order, with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)

@@ -229,7 +229,7 @@ def autocorrelation(spark, sf_dir):
     "tau ess",
 )
 def effective_sample_size(spark, sf_dir):
-    return runs.effective_sample_size(runs.autocorrelation(series(spark, sf_dir), "value", 12))
+    return runs.whole_effective_sample_size(series(spark, sf_dir), "value", 12)
 
 
 # --- distributions ----------------------------------------------------------------------------------------------

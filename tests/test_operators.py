@@ -46,6 +46,25 @@ def test_effective_sample_size(spark, values, ess):
     assert runs.effective_sample_size(rho).first().ess == ess
 
 
+def test_effective_sample_size_past_the_first_lags(spark):
+    values = {"a": [float(k) for k in range(60)], "b": [float(k * 7 % 11) for k in range(60)], "c": [float(k // 10) if k % 9 else None for k in range(60)], "d": [1.0] * 20}
+    got = {r.replica_id: r for r in runs.whole_effective_sample_size(series(spark, values, "v").withColumn("replica_id", F.col("segment_id")), "v", 4).collect()}
+    for name, v in values.items():
+        there = [x for x in v if x is not None]
+        n, mean = len(there), sum(there) / len(there)
+        var = sum((x - mean) ** 2 for x in there) / n
+        kept = 0, 0.0
+        for lag in range(1, len(v)):
+            pairs = [(x - mean) * (y - mean) for x, y in zip(v, v[lag:], strict=False) if x is not None and y is not None]
+            if not var or not pairs or sum(pairs) <= 0:
+                break
+            kept = kept[0] + 1, kept[1] + sum(pairs) / len(pairs) / var
+        row = got[name]
+        assert (row.n, row.positive_lags) == (n, kept[0])
+        assert row.ess is None if not var else abs(row.ess - min(n, n / max(1, 1 + 2 * kept[1]))) < 1e-9
+    assert got["a"].positive_lags > 12
+
+
 def test_one_way_driver(spark):
     import random
 
