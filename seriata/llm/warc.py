@@ -85,12 +85,17 @@ class Gap:
     end: int
 
 
+#: Headers end at an empty line, however long they are; a version line before it starts another record.
+_HEAD_END = re.compile(rb"\r\n\r\n|\r\n(?=WARC/1\.[01]\r\n)")
+
+
 def _plain(data: bytes, at: int) -> Record | None:
     if data[at : at + 7] != b"WARC/1.":
         return None
-    head = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if head < 0:
+    found = _HEAD_END.search(data, at)
+    if found is None or found[0] != b"\r\n\r\n":
         return None
+    head = found.start()
     version, *lines = data[at:head].split(b"\r\n")
     if version not in (b"WARC/1.0", b"WARC/1.1") or not all(b":" in x for x in lines):
         return None

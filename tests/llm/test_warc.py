@@ -32,6 +32,13 @@ def test_round_trip(spark, tmp_table):
     assert got == expected(PAGES)
 
 
+def test_round_trip_of_long_headers(spark, tmp_table):
+    pages = [(1, "http://a/" + "u" * (3 << 20), BIG), (2, "http://a/2", "<b>short</b>")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
+    got = sorted((tuple(r) for r in op8_warc(spark, tmp_table(pages=df)).collect()), key=str)
+    assert got == expected(pages)
+
+
 def test_round_trip_of_the_table(spark):
     sf = "/root/testdata/sf0.001"
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
