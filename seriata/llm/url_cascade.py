@@ -1,6 +1,6 @@
 """URL filter: exact list membership by a cascade of Bloom filters, without joins.
 
-The universe is every key that the corpus holds (each host and its parent domains). Level 0 encodes the listed keys;
+The universe is every key that the corpus holds (hosts and parent domains). Level 0 encodes the listed keys;
 level 1 the universe's keys that level 0 takes wrongly; level 2 the listed keys that level 1 takes wrongly, and so on
 until a level takes none wrongly. A key's answer is the parity of the first level that doesn't hold it. As the levels were
 built over the complete universe, this is exact for every key of the corpus.
@@ -14,14 +14,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 #: Registered domains (with all their subdomains) that the production filter blocks.
 BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.org", "ads-track.example.org", "free-bets.example.com")
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's; the longest wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BITS_PER_KEY = 12
 HASHES = 5
-#: Most bytes of all levels together, as they travel to every task. Beyond it, ``listed_flags`` joins on the key instead.
-MAX_BYTES = 64 << 20
+#: A segment of a filter is put together by one task. What a pass over the rows carries along is at most about PASS_BYTES (45 million listed keys).
+SEGMENT_BYTES, PASS_BYTES = 16 << 20, 64 << 20
 MAX_LEVELS = 64
 
 
@@ -42,90 +44,104 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all its parent domains; nothing for an empty host."""
-    parts = F.split(host, r"\.", -1)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    )
+def domains(host: Column, labels: list[int]) -> list[Column]:
+    """The host's last so many labels, for each number in ``labels``; the host itself where it has fewer."""
+    return [F.substring_index(host, ".", -n) for n in labels]
 
 
 @dataclass
 class Cascade:
-    """``levels[i]`` is the words of a filter with 64 * len(words) bits; one with none holds nothing."""
+    """Level ``i`` is a one-row table of an array of segments, each an array of 64-bit words.
+
+    A key goes to one word by its hash and sets HASHES bits in it. Rows read the arrays by scalar subqueries: no plan text, no row and
+    no driver holds a filter.
+    """
 
-    levels: list[list[int]] = field(default_factory=list)
+    levels: list[DataFrame] = field(default_factory=list)
+    shapes: list[tuple[int, int]] = field(default_factory=list)  #: segments of a level, words of a segment
 
     def bytes(self) -> int:
-        return sum(8 * len(x) for x in self.levels)
+        return sum(8 * segments * words for segments, words in self.shapes)
+
+    def might_hold(self, key: Column, level: int) -> Column:
+        at, word, bits = _place(key, *self.shapes[level], level)
+        return F.get(F.get(self.levels[level].scalar(), at), word).bitwiseAND(bits) == bits
 
     def holds(self, key: Column) -> Column:
         """Whether a key of the universe is listed."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
-            out = F.when(_might_hold(key, self.levels[i], i), out).otherwise(F.lit(i % 2 == 1))
+            out = F.when(self.might_hold(key, i), out).otherwise(F.lit(i % 2 == 1))
         return out
 
 
-def _positions(key: Column, bits: int, level: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(bits).cast("bigint")) for j in range(HASHES)]
+def _place(key: Column, segments: int, words: int, level: int) -> tuple[Column, Column, Column]:
+    """The key's segment, its word there, and its bits in the word, each from a hash of its own."""
+    at = F.pmod(F.xxhash64(F.lit("segment"), key, F.lit(level)), F.lit(segments)).cast("int") if segments > 1 else F.lit(0)
+    word = F.pmod(F.xxhash64(F.lit("word"), key, F.lit(level)), F.lit(words)).cast("int")
+    h, bits = F.xxhash64(key, F.lit(level)), F.lit(0).cast("bigint")
+    for j in range(HASHES):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * j).bitwiseAND(F.lit(63)).cast("int")))
+    return at, word, bits
 
 
-def _might_hold(key: Column, words: list[int], level: int) -> Column:
-    if not words:
-        return F.lit(False)
-    held = F.lit(words).cast("array<bigint>")
-    out = F.lit(True)
-    for at in _positions(key, 64 * len(words), level):
-        word, bit = F.get(held, F.shiftrightunsigned(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")
-        out = out & (F.call_function("shiftrightunsigned", word, bit).bitwiseAND(F.lit(1)) == 1)
-    return out
+def _encode(keys: DataFrame, segments: int, words: int, level: int) -> DataFrame:
+    """The level's one row. Bits are set and each segment is put together by the executors."""
+    at, word, bits = _place(F.col("key"), segments, words, level)
+    ones = keys.select(at.alias("segment"), word.alias("word"), bits.alias("bits"))
+    every = keys.sparkSession.range(segments * words).select(F.floor(F.col("id") / words).cast("int").alias("segment"), (F.col("id") % words).cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    whole = ones.unionByName(every).groupBy("segment", "word").agg(F.bit_or("bits").alias("bits"))
+    parts = whole.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+    one = parts.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "words"))), lambda x: x["words"]).alias("words"))
+    return stored(one, "filter")[0]
 
 
-def _encode(keys: DataFrame, count: int, level: int) -> list[int]:
-    """The filter's words. The bits are set by the executors; the driver gets ``count * BITS_PER_KEY`` bits, a checked size."""
-    size = max(1, -(-count * BITS_PER_KEY // 64))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), 64 * size, level))).alias("p"))
-    rows = at.groupBy(F.shiftrightunsigned("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
-    words = [0] * size
-    for r in rows:
-        words[r.word] = r.bits
-    return words
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
-    """Both have distinct ``key`` strings; ``listed`` may hold keys outside the universe, which are left out.
-
-    None if the levels would take more than ``max_bytes``.
-    """
-    inside = universe.join(listed, "key", "left_semi")
-    outside = universe.join(listed, "key", "left_anti")
-    cascade, turn = Cascade(), (inside, outside)
+def build_cascade(keys: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Cascade:
+    """``keys(key, listed)``: the whole universe, each key once."""
+    cascade = Cascade()
     for level in range(MAX_LEVELS):
-        own, other = turn
+        # level i encodes the keys of its side that all levels of the other side below it take
+        own = keys.where(F.col("listed") == F.lit(level % 2 == 0))
+        for below in range(level - 1, -1, -2):
+            own = own.where(cascade.might_hold(F.col("key"), below))
         count = own.count()
         if not count:
             return cascade
-        if cascade.bytes() + count * BITS_PER_KEY // 8 > max_bytes:
-            return None
-        cascade.levels.append(_encode(own, count, level))
-        turn = (other.where(_might_hold(F.col("key"), cascade.levels[-1], level)), own)
+        size = -(-count * BITS_PER_KEY // 64)
+        segments = -(-8 * size // segment_bytes)
+        words = -(-size // segments)
+        cascade.levels.append(_encode(own, segments, words, level))
+        cascade.shapes.append((segments, words))
     raise RuntimeError("the cascade doesn't end: keys of both sides share all hashes")
 
 
-def listed_flags(rows: DataFrame, keys: Column, listed: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``rows`` with a boolean ``listed``: whether any of the string array ``keys`` is in ``listed(key)``.
+def listed_flags(rows: DataFrame, host: str, listed: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """``rows`` with a boolean ``listed``: whether the column ``host`` or one of its parent domains is in ``listed(key)``, without joins on the rows.
 
-    By the cascade, without joins on the rows; a list too long for ``max_bytes`` is joined with the distinct key sets instead, exactly as well.
+    Of a host's parents only those with as many labels as some listed key are asked for, so these, over all rows, are the universe. A list
+    whose first level would exceed ``pass_bytes`` is split by a hash of the key; each part has a cascade of its own, and the rows
+    pass one after another.
     """
-    listed = listed.where("key is not null").distinct()
-    universe = rows.select(F.explode(keys).alias("key")).where("key is not null").distinct()
-    cascade = build_cascade(listed, universe, max_bytes)
-    if cascade is not None:
-        return rows.withColumn("listed", F.exists(keys, lambda k: cascade.holds(k)))
-    sets = rows.select(keys.alias("_keys")).distinct()
-    hit = sets.select("_keys", F.explode("_keys").alias("key")).join(listed, "key", "left_semi").select("_keys").distinct()
-    return rows.withColumn("_keys", keys).join(hit.withColumn("_hit", F.lit(True)), "_keys", "left").withColumn("listed", F.coalesce("_hit", F.lit(False))).drop("_keys", "_hit")
+    listed = listed.where("key is not null and key <> ''").select("key").distinct().withColumn("listed", F.lit(True))
+    rows = rows.withColumn("listed", F.lit(False))
+    # one row per number of labels comes to the driver
+    labels = sorted(r.n for r in listed.select(F.size(F.split("key", r"\.", -1)).alias("n")).distinct().collect())
+    if not labels:
+        return rows
+    keys = domains(F.col(host), labels)
+    universe = rows.select(F.explode(F.array(*keys)).alias("key")).where("key is not null").distinct()
+    universe, _ = stored(universe.join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    parts = max(1, -(-universe.where("listed").count() * BITS_PER_KEY // (8 * pass_bytes)))
+    part = lambda key: F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+    for k in range(parts):
+        cascade = build_cascade(universe if parts == 1 else universe.where(part(F.col("key")) == k))
+        hit = F.col("listed")
+        for key in keys:
+            hit = hit | (cascade.holds(key) if parts == 1 else (part(key) == k) & cascade.holds(key))
+        rows = rows.withColumn("listed", F.coalesce(hit, F.lit(False)))
+        if k + 1 < parts:
+            rows, _ = stored(rows, "flags")
+    return rows
 
 
 def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
@@ -150,6 +166,6 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, blocked: DataFrame | Non
     if blocked is None:
         blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = listed_flags(rows, host_suffixes(F.col("host")), blocked)
+    rows = listed_flags(rows, "host", blocked)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

@@ -31,23 +31,32 @@ def test_empty_pages(spark):
 def test_cascade_is_exact_on_its_universe(spark):
     rng = random.Random(1)
     keys = [f"k{rng.getrandbits(40):x}" for _ in range(6000)]
-    listed = set(keys[:1500]) | {"outside"}
-    universe = spark.createDataFrame([(k,) for k in keys], "key string").distinct()
-    cascade = U.build_cascade(spark.createDataFrame([(k,) for k in listed], "key string"), universe)
-    assert len(cascade.levels) >= 2
-    got = {r.key for r in universe.where(cascade.holds(F.col("key"))).collect()}
-    assert got == listed & set(keys)
+    listed = set(keys[:1500])
+    universe = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
+    for segment_bytes in (1 << 20, 1000):
+        cascade = U.build_cascade(universe, segment_bytes)
+        assert len(cascade.levels) >= 2 and (cascade.shapes[0][0] > 1) == (segment_bytes == 1000)
+        assert {r.key for r in universe.where(cascade.holds(F.col("key"))).collect()} == listed
 
 
-def test_list_beyond_the_bound_is_joined(spark):
+def test_a_long_list_takes_several_passes(spark):
     rows = spark.createDataFrame([(i, f"h{i % 50}.example.com") for i in range(200)], "i long, host string")
-    listed = spark.createDataFrame([(f"h{i}.example.com",) for i in range(0, 50, 3)], "key string")
-    flags = [U.listed_flags(rows, U.host_suffixes(F.col("host")), listed, most) for most in (1, 1 << 20)]
-    a, b = ({(r.i, r.listed) for r in x.collect()} for x in flags)
-    assert a == b == {(i, (i % 50) % 3 == 0) for i in range(200)}
+    listed = spark.createDataFrame([(f"h{i}.example.com",) for i in range(0, 50, 3)] + [("elsewhere",), (None,)], "key string")
+    for most in (9, 1 << 20):
+        flags = U.listed_flags(rows, "host", listed, most)
+        assert {(r.i, r.listed) for r in flags.collect()} == {(i, (i % 50) % 3 == 0) for i in range(200)}
+
+
+def test_a_list_of_production_size(spark):
+    listed = spark.range(300_000).select(F.concat(F.lit("bad"), F.col("id"), F.lit(".example.org")).alias("key"))
+    hosts = spark.range(0, 600_000, 7).select("id", F.concat(F.lit("www.bad"), F.col("id"), F.lit(".example.org")).alias("host"))
+    flags = U.listed_flags(hosts, "host", listed)
+    assert "Join" not in flags._jdf.queryExecution().executedPlan().toString()
+    got = flags.groupBy("listed", (F.col("id") < 300_000).alias("low")).count().collect()
+    assert {(r.listed, r.low) for r in got} == {(True, True), (False, False)}
 
 
 def test_nothing_listed(spark):
     rows = spark.createDataFrame([(1, "a.b")], "i long, host string")
-    got = U.listed_flags(rows, U.host_suffixes(F.col("host")), spark.createDataFrame([("z",)], "key string")).first()
+    got = U.listed_flags(rows, "host", spark.createDataFrame([("z",)], "key string")).first()
     assert got.listed is False
