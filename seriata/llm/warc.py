@@ -7,6 +7,7 @@ the next version line or gzip member that passes all checks, goes on from there
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 
 from .storage import new_path
 
-#: Production parameters: payloads from this size are deduplicated; an archive's target size; the date of the records.
+#: Production parameters: payloads from this size are deduplicated; an archive's most bytes, but for one larger record; the date of the records.
 MIN_DEDUP_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
+#: Pages are written class by class of size, so that the number of records in a file bounds its bytes: below each of these, and beyond.
+CLASSES = (4 << 10, 64 << 10, 1 << 20)
+#: What a record has besides its page and url, at most.
+HEAD_BYTES = 1 << 10
 DATE = "2000-01-01T00:00:00Z"
 #: Most digests with several records that are sent to every task (about 100 bytes each); beyond it they are joined by shuffle.
 MAX_SENT_DIGESTS = 200_000
@@ -53,17 +58,21 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_DEDUP_BYTES
     others revisit it; if none has an id, all are responses. Null html is an empty payload, a null url a placeholder.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    sized = pages.select("page_id", F.octet_length(payload).alias("n"), F.sha1(payload.cast("binary")).alias("digest"))
-    groups = sized.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies"), F.sum("n").alias("n"), F.max("n").alias("each"))
-    told = groups.agg(F.sum("n"), F.sum("copies"), F.count(F.when((F.col("copies") > 1) & (F.col("each") >= min_bytes), 1))).first()
-    again = groups.where(f"copies > 1 and each >= {min_bytes}").select("digest", "best")
-    rows = rows.join(F.broadcast(again) if told[2] <= max_sent else again, "digest", "left")
+    size = F.octet_length(payload) + F.coalesce(F.octet_length("url"), F.lit(0))
+    kind_of = F.when(size < CLASSES[0], 0).when(size < CLASSES[1], 1).when(size < CLASSES[2], 2).otherwise(3)
+    digest = F.sha1(payload.cast("binary")).alias("digest")
+    sized = pages.select("page_id", F.octet_length(payload).alias("n"), digest, kind_of.alias("class"))
+    groups = sized.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies"), F.max("n").alias("n"), *[F.count_if(F.col("class") == k).alias(f"c{k}") for k in range(4)])
+    told = groups.agg(F.count_if((F.col("copies") > 1) & (F.col("n") >= min_bytes)).alias("again"), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(4)]).first()
+    again = groups.where(f"copies > 1 and n >= {min_bytes}").select("digest", "best")
     revisits = F.col("best").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best")))
     kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
-    per_file = max(1, int(archive_bytes * (told[1] or 1) / max(1, told[0] or 1)))
     record = _record(kind, F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"), F.col("best"))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    for k, most in enumerate((*CLASSES, archive_bytes)):
+        if told[f"c{k}"] or not any(told[1:]) and k == 0:
+            rows = pages.where(kind_of == k).select("page_id", "url", payload.alias("payload"), digest)
+            rows = rows.join(F.broadcast(again) if told.again <= max_sent else again, "digest", "left")
+            rows.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, archive_bytes // (most + HEAD_BYTES))).text(path)
 
 
 # --- reader -----------------------------------------------------------------------------------------------------
@@ -107,17 +116,29 @@ def _plain(data: bytes, at: int) -> Record | None:
     if data[end : end + 4] != b"\r\n\r\n":
         return None
     block = data[head + 4 : end]
-    if b"\r\nWARC/1." in block and b"warc-block-digest" not in headers:
-        return None
-    if not _holds(headers.get(b"warc-block-digest"), block):
-        return None
-    if headers.get(b"warc-type") == b"response" and not _holds(headers.get(b"warc-payload-digest"), payload_of(block)):
-        return None
-    return Record(at, end + 4, headers, block)
+    told = headers.get(b"warc-block-digest")
+    if told is not None:
+        sound = _holds(told, block)
+    elif headers.get(b"warc-type") == b"response" and b"warc-payload-digest" in headers:
+        # a payload digest may be taken before or after a transfer encoding
+        sound = _holds(headers[b"warc-payload-digest"], payload_of(block)) or b"\r\ntransfer-encoding:" in block.partition(b"\r\n\r\n")[0].lower()
+    else:
+        # a version line inside is data if another record, or the end, follows this one at once
+        sound = b"\r\nWARC/1." not in block or end + 4 >= len(data) or _STARTS.match(data, end + 4) is not None
+    return Record(at, end + 4, headers, block) if sound else None
+
 
+_DIGESTS = ("md5", "sha1", "sha256", "sha512")
 
-def _holds(digest: bytes | None, data: bytes) -> bool:
-    return digest is None or not digest.startswith(b"sha1:") or digest[5:].lower() == hashlib.sha1(data).hexdigest().encode()
+
+def _holds(digest: bytes, data: bytes) -> bool:
+    """Whether a digest in hex or base32 is that of ``data``; one of an unknown kind holds."""
+    kind, _, value = digest.partition(b":")
+    name = kind.decode("latin-1").lower().replace("-", "")
+    if name not in _DIGESTS:
+        return True
+    made = hashlib.new(name, data)
+    return value.lower() == made.hexdigest().encode() or value.upper().rstrip(b"=") == base64.b32encode(made.digest()).rstrip(b"=")
 
 
 def payload_of(block: bytes) -> bytes:
@@ -125,17 +146,37 @@ def payload_of(block: bytes) -> bytes:
 
 
 def _member(data: bytes, at: int) -> Record | None:
+    """The record in a gzip member. Nothing is inflated beyond the length that the record's own headers tell."""
     if data[at : at + 3] != b"\x1f\x8b\x08":
         return None
-    z = zlib.decompressobj(31)
+    z, plain, need, read = zlib.decompressobj(31), bytearray(), None, at
     try:
-        plain = z.decompress(memoryview(data)[at:])
+        while not z.eof:
+            fed = z.unconsumed_tail or data[read : read + _STEP]
+            read += 0 if z.unconsumed_tail else len(fed)
+            if not fed:
+                return None
+            plain += z.decompress(fed, _STEP)
+            if need is None and (b"WARC/1."[: len(plain)] != plain[:7] or (found := _HEAD_END.search(plain)) and (need := _length(plain, found)) is None):
+                return None
+            if need is not None and len(plain) > need:
+                return None
     except zlib.error:
         return None
-    inner = _plain(plain, 0) if z.eof else None
+    inner = _plain(bytes(plain), 0)
     if inner is None or inner.end != len(plain):
         return None
-    return Record(at, len(data) - len(z.unused_data), inner.headers, inner.block)
+    return Record(at, read - len(z.unused_data), inner.headers, inner.block)
+
+
+_STEP = 1 << 16
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n")
+
+
+def _length(plain: bytearray, head: re.Match) -> int | None:
+    """Bytes of a record with both line ends, by its headers; None if they don't tell."""
+    told = _LENGTH.search(plain, 0, head.end())
+    return head.start() + 8 + int(told[1]) if told and head[0] == b"\r\n\r\n" else None
 
 
 def _valid(data: bytes, at: int) -> Record | None:
@@ -169,7 +210,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     """Rows for the records and the quarantined gaps (``gap`` true, record columns null) of all archives under ``path``.
 
     ``payload_bytes`` and ``payload_digest`` are a response's own; a revisit repeats those of the response that it refers to.
-    An archive is read by one task, so its size, which the writer bounds, bounds the memory.
+    An archive is read by one task, so its size, which the writer bounds by ARCHIVE_BYTES, bounds the memory; Spark reads files of up to 2 GB so.
+    Digests may be hex or base32. A record without digests counts if its lengths and ends hold.
     """
 
     def rows(batches: Iterator) -> Iterator:

@@ -1,6 +1,8 @@
+import base64
 import gzip
 import hashlib
 import random
+import tracemalloc
 from pathlib import Path
 
 from seriata.llm import warc
@@ -94,3 +96,48 @@ def test_salvage_of_gzip_members(spark, tmp_path):
     found = list(warc.salvage(packed[:at] + b"\xff" + packed[at + 1 :]))
     assert [x.block for x in found if isinstance(x, warc.Record)] == [x.block for k, x in enumerate(whole) if k != 1]
     assert [(x.start, x.end) for x in found if isinstance(x, warc.Gap)] == [(len(members[0]), len(members[0]) + len(members[1]))]
+
+
+def record(kind, body, *, block=None, payload=None, http=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"):
+    whole = http + body
+    more = b"".join(b"%s: %s\r\n" % (n, v) for n, v in ((b"WARC-Block-Digest", block and block(whole)), (b"WARC-Payload-Digest", payload and payload(body))) if v)
+    return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:1>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, more, len(whole), whole)
+
+
+def hexed(data):
+    return b"sha1:" + hashlib.sha1(data).hexdigest().encode()
+
+
+def base32(data):
+    return b"sha1:" + base64.b32encode(hashlib.sha1(data).digest())
+
+
+def test_records_of_other_writers():
+    bodies = [b"plain", b"line\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\nembedded\r\n\r\n", b"\r\n\r\n" * 9]
+    for block in (None, hexed, base32, lambda d: b"blake3:" + b"0" * 64):
+        for payload in (None, hexed, base32):
+            made = [record(kind, b, block=block, payload=payload) for b in bodies for kind in (b"response", b"resource")]
+            for data in (b"".join(made), b"".join(map(gzip.compress, made))):
+                found = list(warc.salvage(data))
+                assert [x.block.partition(b"\r\n\r\n")[2] for x in found] == [b for b in bodies for _ in range(2)]
+    wrong = record(b"response", b"abc", payload=lambda d: hexed(d + b"x"))
+    assert isinstance(next(iter(warc.salvage(wrong))), warc.Gap)
+    chunked = record(b"response", b"3\r\nabc\r\n0\r\n\r\n", payload=lambda d: hexed(b"abc"), http=b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n")
+    assert isinstance(next(iter(warc.salvage(chunked))), warc.Record)
+
+
+def test_members_are_inflated_no_further_than_they_say():
+    lying = record(b"response", b"x").replace(b"\r\n\r\nHTTP", b"\r\n\r\n" + b"\0" * (64 << 20) + b"HTTP", 1)
+    tracemalloc.start()
+    found = list(warc.salvage(gzip.compress(lying) + gzip.compress(record(b"response", b"next"))))
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    assert [type(x) for x in found] == [warc.Gap, warc.Record] and found[1].block.endswith(b"next")
+
+
+def test_archives_stay_below_their_size(spark, tmp_path):
+    df = spark.range(400).selectExpr("id as page_id", "'http://a' as url", "repeat(char(97 + id % 26), if(id % 100 = 0, 90000, cast(id * 30 as int))) as html")
+    warc.write_archives(df.coalesce(1), f"{tmp_path}/a", archive_bytes=200_000)
+    sizes = [p.stat().st_size for p in Path(f"{tmp_path}/a").glob("*.txt")]
+    assert max(sizes) < 300_000 and len(sizes) < 120
+    assert warc.read_archives(spark, f"{tmp_path}/a").where("not gap").count() == 400
