@@ -7,6 +7,7 @@ pieces of the emptiest bins, so that only one sequence of a group stays short.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,6 +37,16 @@ _OTHER = re.compile(r"[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ¿¡«»“”‘’–
 #: The tokenizer's own split over those characters, in lower case.
 _UNIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
+#: What units rest on, as the tokenizer's file states it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 class WordTokenizer:
     """Ids of whole texts by way of a cache of units.
@@ -51,6 +62,10 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, "rb") as f:
+            told = json.load(f)
+        #: A tokenizer that splits otherwise gets every text whole.
+        self.by_units = (told["normalizer"], told["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
         self.clear()
 
     def clear(self) -> None:
@@ -73,6 +88,8 @@ class WordTokenizer:
             self.at[word] = k
 
     def encode(self, text: str) -> np.ndarray:
+        if not self.by_units:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         units = _CHUNK.findall(text) if _OTHER.search(text) else _UNIT.findall(text.lower())
         if not units:
             return np.zeros(0, np.uint32)
@@ -176,7 +193,8 @@ def pack_documents(
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids`` if asked for).
 
     A document's ids are its tokens and the end id. Null text counts as empty (the end id alone); repeated rows are packed
-    each; extra columns are ignored; an empty table gives no rows. The text is shuffled once, by a hash of id and text.
+    each; extra columns are ignored; an empty table gives no rows. The text is shuffled once, by a hash of id and text, and sorted by it, so
+    that a task that is run again packs the same groups.
 
     With ``stretch``, a column of numbers from 0 on, rows of different stretches never share a group, rows are mixed by that hash inside their
     stretch alone, and sequences are numbered in the order of the stretches.
@@ -196,7 +214,7 @@ def pack_documents(
 
         def close():
             nonlocal sequence
-            # arrival order isn't fixed, so the group is put in an order of its own
+            # the rows come in the order of a hash; pieces are listed by id
             order = sorted(range(len(held)), key=lambda k: (names[k] is None, names[k] or 0, len(held[k])))
             cols: list[list] = [[] for _ in range(7 + with_ids)]
             for pieces in pack([len(held[k]) for k in order], capacity):
@@ -234,5 +252,5 @@ def pack_documents(
         runs = docs.select("doc_id", "text", F.col(stretch).cast("bigint").alias("stretch"), mix.alias("_mix")).repartition("stretch")
         dealt = runs.sortWithinPartitions("stretch", "_mix").drop("_mix")
     else:
-        dealt = docs.select("doc_id", "text").repartition(mix)
+        dealt = docs.select("doc_id", "text", mix.alias("_mix")).repartition("_mix").sortWithinPartitions("_mix").drop("_mix")
     return dealt.mapInArrow(pack_groups, schema)

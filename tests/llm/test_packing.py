@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seriata.llm import packing
@@ -88,3 +89,17 @@ def test_edges(spark, edge_docs, empty_docs):
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
     small = packing.pack_documents(edge_docs, group_ids=50).collect()
     assert sum(r.length for r in small) == sum(r.length for r in packing.pack_documents(edge_docs).collect())
+
+
+def test_arrival_order_does_not_matter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    made = [sorted(packing.pack_documents(d, group_ids=50_000).collect()) for d in (docs, docs.orderBy(F.rand(1)), docs.repartition(13))]
+    assert made[0] == made[1] == made[2]
+
+
+def test_a_tokenizer_that_splits_otherwise_reads_whole_texts(monkeypatch):
+    path, text = public_tokenizers.path(packing.TOKENIZER), "Don't split 12 words, É!"
+    assert packing.WordTokenizer(path).by_units
+    monkeypatch.setattr(packing, "_NORMALIZER", {})
+    other = packing.WordTokenizer(path)
+    assert not other.by_units and [*other.encode(text).tolist(), 1] == slow_ids([text])[0]
