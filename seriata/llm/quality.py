@@ -1,10 +1,10 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by minimum covariance determinant (MCD).
 
 Text statistics are one JVM pass over whole texts without a shuffle. What the MCD works on is a narrow table of five transformed
-ratios per document. It is fitted for each language and source: from medians and MADs, concentration steps take the share
-``H`` of documents nearest to the current centre, found on a histogram of log distances, and re-estimate centre and
-covariance from sums; then one reweighting step. All of it are partial aggregates with a row per group and
-histogram bin, so a hot source is added up where it lies.
+ratios per document. It is fitted for each language and source: from three deterministic starts around medians and MADs, concentration steps take the share
+``H`` of documents nearest to the current centre and re-estimate centre and covariance; the start with the least determinant goes
+on; then one reweighting step. A step is one pass: counts and sums per group and bin of log distance, partial aggregates, so that a hot
+source is added up where it lies; the cut and the new estimate come from these few rows.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from .text import BLANKS, whole, words
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Production parameters of the MCD: share of documents in a concentration step, documents for a group of its own,
-#: probability that a clean Gaussian document stays, concentration steps (as many at every size of input).
-H, MIN_GROUP, KEEP, STEPS = 0.7, 100, 0.9999, 10
-#: Groups whose parameters are sent to every task (about 300 bytes each); with more they are joined by shuffle.
-MAX_SENT_GROUPS = 20_000
+#: probability that a clean Gaussian document stays, concentration steps from each start, further ones from the best (as many at every size of input).
+H, MIN_GROUP, KEEP, FIRST_STEPS, STEPS = 0.7, 100, 0.9999, 2, 8
+#: Groups whose parameters are sent to every task (about 300 bytes each); with more they are joined by shuffle, where a group is split
+#: into parts of so many rows, and the table of groups by SALTS.
+MAX_SENT_GROUPS, PART_ROWS, SALTS = 20_000, 1_000_000, 32
 #: Features and the standard deviation that is added to each in any case: it keeps constant features from rejecting on a trifle.
 FEATURES = {"log_word_length": 0.10, "symbols": 0.06, "dup_lines": 0.20, "repeats": 0.15, "shouting": 0.08}
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts")
@@ -121,36 +122,43 @@ def consistency(q: float, p: int) -> float:
 
 # --- MCD --------------------------------------------------------------------------------------------------------
 
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+_PARAMS = [f"m{i}" for i in range(_P)] + [f"l{i}{j}" for i, j in _PAIRS]
+
+
+# Small linear algebra per group is written as SQL text whose later columns read earlier ones: one analysis a step, whatever its length.
 
-def _cholesky(groups: DataFrame) -> DataFrame:
-    """``g, m0.., l00..`` from centre ``m`` and covariance ``c`` (the added variances included)."""
-    for i in range(_P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.select("g", "n", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i in range(_P) for j in range(i + 1)])
+
+def _cholesky(keys: list[str], means: list[str], cov: list[str]) -> list[str]:
+    """``keys, m0.., l00..`` from SQL for the centre and for the covariance (the added variances included), of a row."""
+    out = [*keys, *[f"{m} AS m{i}" for i, m in enumerate(means)]]
+    for (i, j), c in zip(_PAIRS, cov, strict=True):
+        rest = c + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out.append(f"sqrt(greatest({rest}, 1e-12D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return out
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance of ``x`` from a row's joined ``m`` and ``l``, by forward substitution."""
-    z: list[Column] = []
+    z: list[str] = []
     for i in range(_P):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * z[j]
-        z.append(rest / F.col(f"l{i}{i}"))
-    return sum((v * v for v in z[1:]), z[0] * z[0])
+        z.append(f"((x{i} - m{i}{''.join(f' - l{i}{j} * {v}' for j, v in enumerate(z))}) / l{i}{i})")
+    return F.expr(" + ".join(f"{v} * {v}" for v in z))
+
+
+_SUM_NAMES = ["n", *[f"t{i}" for i in range(_P)], *[f"s{i}{j}" for i, j in _PAIRS]]
+_FLOOR = [v * v for v in FEATURES.values()]
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Centre and covariance of each group by sums, the covariance times ``scale`` plus the added variances."""
-    pairs = [(i, j) for i in range(_P) for j in range(i + 1)]
-    sums = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(_P)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs])
-    floor = [v * v for v in FEATURES.values()]
-    cov = [((F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs]
-    return _cholesky(sums.select("g", "n", *[f"m{i}" for i in range(_P)], *cov))
+def _sums() -> list[Column]:
+    told = ["count(*) AS n", *[f"sum(x{i}) AS t{i}" for i in range(_P)], *[f"sum(x{i} * x{j}) AS s{i}{j}" for i, j in _PAIRS]]
+    return [F.expr(x) for x in told]
+
+
+def _estimate(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Centre and Cholesky factor from counts and sums, the covariance times ``scale`` plus the added variances."""
+    cov = [f"((s{i}{j} / n - t{i} / n * t{j} / n) * {scale}D{f' + {_FLOOR[i]}D' if i == j else ''})" for i, j in _PAIRS]
+    return sums.selectExpr(*_cholesky(keys, [f"t{i} / n" for i in range(_P)], cov))
 
 
 def _quantile_bins(rows: DataFrame, keys: list[str], value: str, share: float, alias: str) -> DataFrame:
@@ -161,24 +169,67 @@ def _quantile_bins(rows: DataFrame, keys: list[str], value: str, share: float, a
     return run.where(F.col("_run") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(F.min(value).alias(alias))
 
 
+class Groups:
+    """How rows meet the parameters of their groups: by sending these to every task where they are few, else by a join in which large groups are split.
+
+    ``rows(_h, g, parts, ..)``: ``parts`` is the number of parts of the row's group, ``_h`` a fixed hash of the row's own, so that copies are dealt out too.
+    """
+
+    def __init__(self, few: bool):
+        self.few = few
+
+    def met(self, rows: DataFrame, params: DataFrame) -> DataFrame:
+        if self.few:
+            return rows.join(F.broadcast(params.drop("parts")), "g")
+        split = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+        return rows.withColumn("_salt", F.pmod("_h", "parts")).join(split, ["g", "_salt"]).drop("_salt")
+
+
 _GRID = 256.0
 
 
-def _median_start(rows: DataFrame, send: bool) -> DataFrame:
-    """Medians and MADs of each feature, on a grid of 1/256, as centre and diagonal covariance."""
-    long = rows.select("g", F.posexplode(F.array(*_NAMES)).alias("f", "x"))
-    med, med_path = stored(_quantile_bins(long.withColumn("b", F.floor(F.col("x") * _GRID)), ["g", "f"], "b", 0.5, "med"), "median")
-    dev = long.join(_sent(med, send), ["g", "f"]).withColumn("b", F.floor(F.abs(F.col("x") * _GRID - F.col("med") - 0.5)))
-    mad = _quantile_bins(dev, ["g", "f"], "b", 0.5, "mad")
-    both = med.join(mad, ["g", "f"]).groupBy("g").agg(
-        *[F.max(F.when(F.col("f") == i, (F.col("med") + 0.5) / _GRID)).alias(f"m{i}") for i in range(_P)],
-        *[F.max(F.when(F.col("f") == i, F.col("mad") / _GRID * 1.4826)).alias(f"d{i}") for i in range(_P)],
-    )
-    floor = [v * v for v in FEATURES.values()]
-    cov = [(F.col(f"d{i}") * F.col(f"d{i}") + floor[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(_P) for j in range(i + 1)]
-    start, _ = stored(_cholesky(both.select("g", F.lit(0).cast("bigint").alias("n"), *[f"m{i}" for i in range(_P)], *cov)), "start")
+def _starts(rows: DataFrame, groups: Groups, sizes: DataFrame) -> DataFrame:
+    """``g, parts, start, m.., l..``: three starts of each group, all centred on the medians (on a grid of 1/256): variances from MADs; the covariance
+    of squashed standard scores; that of the directions from the centre, which no distance weighs."""
+    each = range(_P)
+    spread = lambda told, name: told.groupBy("g").agg(*[F.expr(f"max(CASE WHEN f = {i} THEN {name} END) AS {name}{i}") for i in each])
+    long = rows.select("g", F.posexplode(F.expr(f"array({', '.join(f'floor(x{i} * {_GRID}D)' for i in each)})")).alias("f", "b"))
+    med, med_path = stored(spread(_quantile_bins(long, ["g", "f"], "b", 0.5, "med"), "med").join(sizes, "g"), "median")
+    off = groups.met(rows, med).select("g", F.posexplode(F.expr(f"array({', '.join(f'floor(abs(x{i} * {_GRID}D - med{i} - 0.5D))' for i in each)})")).alias("f", "b"))
+    mad = spread(_quantile_bins(off, ["g", "f"], "b", 0.5, "mad"), "mad")
+    scales = [f"sqrt(pow(mad{i} / {_GRID}D * 1.4826D, 2D) + {_FLOOR[i]}D) AS d{i}" for i in each]
+    told, told_path = stored(med.join(mad, "g").selectExpr("g", "parts", *[f"(med{i} + 0.5D) / {_GRID}D AS m{i}" for i in each], *scales), "scales")
+    scored = groups.met(rows, told).selectExpr("g", *[f"(x{i} - m{i}) / d{i} AS z{i}" for i in each])
+    squared = " + ".join(f"z{i} * z{i}" for i in each)
+    shapes = [f"avg(tanh(z{i}) * tanh(z{j})) AS a{i}{j}" for i, j in _PAIRS] + [f"avg(z{i} * z{j} / r) AS b{i}{j}" for i, j in _PAIRS]
+    both = told.join(scored.selectExpr("*", f"greatest({squared}, 1e-12D) AS r").groupBy("g").agg(*[F.expr(x) for x in shapes]), "g")
+
+    def c(k: int, i: int, j: int) -> str:
+        # off the diagonal the shape's correlation, on it the MAD's variance
+        if i == j:
+            return f"d{i} * d{i}"
+        a = "_ab"[k]
+        return f"0.99D * {a}{i}{j} / sqrt(greatest({a}{i}{i} * {a}{j}{j}, 1e-12D)) * d{i} * d{j}" if k else "0D"
+
+    cov = ", ".join(f"struct({', '.join([f'{k} AS start', *[f'{c(k, i, j)} AS c{i}{j}' for i, j in _PAIRS]])})" for k in range(3))
+    made = both.select("g", "parts", *[f"m{i}" for i in each], F.expr(f"inline(array({cov}))"))
+    made = made.selectExpr(*_cholesky(["g", "parts", "start"], [f"m{i}" for i in each], [f"c{i}{j}" for i, j in _PAIRS]))
+    made, _ = stored(made, "starts")
     remove(rows.sparkSession, med_path)
-    return start
+    remove(rows.sparkSession, told_path)
+    return made
+
+
+def _step(rows: DataFrame, params: DataFrame, groups: Groups, h: float) -> DataFrame:
+    """A concentration step of every group and start: one pass over the rows."""
+    keys = ["g", "start"]
+    binned = groups.met(rows, params).groupBy(*keys, F.floor(F.log(_distance() + 1e-9) * 32).alias("b")).agg(*_sums())
+    by = W.partitionBy(*keys)
+    before = F.sum("n").over(by.orderBy("b")) - F.col("n")
+    # bins up to the first at which the share is reached
+    near = binned.withColumn("_before", before).withColumn("_all", F.sum("n").over(by)).where(F.col("_before") < F.ceil(F.col("_all") * h))
+    sums = near.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUM_NAMES])
+    return _estimate(sums, keys, consistency(h, _P)).join(params.select(*keys, "parts"), keys)
 
 
 def _few(groups: DataFrame) -> bool:
@@ -186,56 +237,80 @@ def _few(groups: DataFrame) -> bool:
     return groups.limit(MAX_SENT_GROUPS + 1).count() <= MAX_SENT_GROUPS
 
 
-def _sent(groups: DataFrame, send: bool) -> DataFrame:
-    return F.broadcast(groups) if send else groups
-
-
-def fit_mcd(rows: DataFrame, h: float = H, steps: int = STEPS, send: bool | None = None) -> DataFrame:
-    """``g, n, m.., l..``: reweighted MCD centre and Cholesky factor for each group of ``rows(g, x0..)``.
+def fit_mcd(rows: DataFrame, sizes: DataFrame, h: float = H, few: bool | None = None) -> DataFrame:
+    """``g, parts, m.., l..``: reweighted MCD centre and Cholesky factor for each group of ``rows(_h, g, parts, x0..)``; ``sizes(g, parts)`` lists the groups.
 
-    ``send`` tells whether the groups are few enough for their parameters to be sent to every task; without it they are counted. No later table has more groups.
+    ``few`` tells whether the groups are few enough for their parameters to be sent to every task; without it they are counted.
     """
-    send = _few(rows.select("g").distinct()) if send is None else send
-    params, bin_ = _median_start(rows, send), F.floor(F.log(_distance() + 1e-9) * 32).alias("b")
-    for _ in range(steps):
-        near = rows.join(_sent(params, send), "g").select("g", *_NAMES, bin_)
-        cut, cut_path = stored(_quantile_bins(near, ["g"], "b", h, "cut"), "cut")
-        params, _ = stored(_moments(near.join(_sent(cut, send), "g").where("b <= cut"), consistency(h, _P)), "mcd")
-        remove(rows.sparkSession, cut_path)
-    inner = rows.join(_sent(params, send), "g").where(_distance() <= chi2_quantile(0.975, _P)).select("g", *_NAMES)
-    return stored(_moments(inner, consistency(0.975, _P)), "mcd")[0]
-
-
-def judge(docs: DataFrame, carry: list[str], keep: float = KEEP, min_group: int = MIN_GROUP) -> DataFrame:
-    """The columns ``carry`` (none named like a result) of ``docs(text, lang, source, ..)`` with the statistics, ``base_failed``, ``distance`` and ``kept``.
+    spark = rows.sparkSession
+    groups = Groups(_few(sizes) if few is None else few)
+    params = _starts(rows, groups, sizes)
+    for k in range(FIRST_STEPS + STEPS):
+        if k == FIRST_STEPS:
+            # the least determinant, then the first start
+            size = F.expr("round(2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(_P)) + "), 9)")
+            params = params.groupBy("g").agg(F.min_by(F.struct("parts", "start", *_PARAMS), F.struct(size.alias("size"), "start")).alias("p")).select("g", "p.*")
+        params, path = stored(_step(rows, params, groups, h), "mcd")
+        if k:
+            remove(spark, last)
+        last = path
+    inner = groups.met(rows, params).where(_distance() <= chi2_quantile(0.975, _P)).groupBy("g").agg(*_sums())
+    return stored(_estimate(inner, ["g"], consistency(0.975, _P)).join(sizes, "g"), "mcd")[0]
+
+
+def judge(docs: DataFrame, carry: list[str], keep: float = KEEP, min_group: int = MIN_GROUP, few: bool | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs(text, lang, source, ..)`` with the statistics, ``base_failed``, ``distance`` and ``kept``.
 
     A document that passes the base rules is rejected if its squared Mahalanobis distance exceeds the chi-square quantile
     ``keep`` under the fit for its language and source; groups with fewer than ``min_group`` passing documents take the fit of their language,
     small languages that of all documents, and where even those are fewer every passing document is kept. Null language or source is a
-    group of its own; null text counts as empty; repeated rows are judged each; an empty table gives no rows.
+    group of its own; null text counts as empty; repeated rows are judged each; an empty table gives no rows. A carried column
+    may not be named like a result.
     """
+    if clash := sorted(set(carry) & {*STATISTICS, "base_failed", "distance", "kept"}):
+        raise ValueError(f"columns named like results: {clash}")
     needed = docs.select(F.struct(*[F.col(c) for c in carry]).alias("_carry"), "text", "lang", "source")
-    stats = text_statistics(needed)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     x = [v.alias(f"x{i}") for i, v in enumerate(features())]
-    own = [F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s"))), F.to_json(F.struct(F.col("lang").alias("l"), F.lit("lang").alias("k"))), F.lit("all")]
-    table, _ = stored(stats.select("_carry", *STATISTICS, failed.alias("base_failed"), *x, F.array(*own).alias("_g")), "quality")
-    passed = table.where("not base_failed").select(F.explode("_g").alias("g"), *_NAMES)
-    enough = passed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= min_group).select("g")
-    enough, _ = stored(enough, "groups")
-    send = _few(enough)
-    params = fit_mcd(passed.join(_sent(enough, send), "g"), send=send)
-    return _with_verdict(table, params, chi2_quantile(keep, _P), send)
-
-
-def _with_verdict(table: DataFrame, params: DataFrame, cut: float, send: bool) -> DataFrame:
-    """The first of a row's groups that has a fit judges it; three joins on small keys, no row gathered."""
-    out = table
-    verdicts = []
-    for k in range(3):
-        mine = params.select(F.col("g").alias(f"_g{k}"), F.struct(*[F.col(c) for c in params.columns if c != "g"]).alias(f"_p{k}"))
-        out = out.withColumn(f"_g{k}", F.get("_g", F.lit(k))).join(_sent(mine, send), f"_g{k}", "left")
-        verdicts.append(F.col(f"_p{k}"))
-    out = out.withColumn("_p", F.coalesce(*verdicts)).select("*", *[F.col("_p")[f"m{i}"].alias(f"m{i}") for i in range(_P)], *[F.col("_p")[f"l{i}{j}"].alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)])
-    kept = ~F.col("base_failed") & F.coalesce(_distance() <= cut, F.lit(True))
+    name = lambda *fields: F.to_json(F.struct(*fields))
+    lang = F.col("lang").alias("l")
+    table = text_statistics(needed).select("_carry", *STATISTICS, failed.alias("base_failed"), *x, F.xxhash64(F.monotonically_increasing_id()).alias("_h"), name(lang, F.col("source").alias("s")).alias("own"), name(lang, F.lit("lang").alias("k")).alias("wider"))
+    table, _ = stored(table, "quality")  # which fixes the rows' hashes
+    plan = _plan(table.where("not base_failed"), min_group)
+    few = _few(plan) if few is None else few
+    if few:
+        met = table.join(F.broadcast(plan), "own", "left")
+    else:
+        salt = F.pmod("_h", F.lit(SALTS))
+        met = table.withColumn("_salt", salt).join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["own", "_salt"], "left").drop("_salt")
+    rows = met.where("not base_failed").select("_h", *_NAMES, F.inline("fits"))
+    sizes, _ = stored(plan.select(F.inline("fits")).distinct(), "groups")
+    params = fit_mcd(rows, sizes, few=few)
+    judged = met.withColumn("g", F.when(~F.col("base_failed"), F.col("judge.g"))).withColumn("parts", F.col("judge.parts"))
+    # a row without a judge meets no group, and its random part keeps such rows apart
+    params = params.withColumnRenamed("g", "_g")
+    if few:
+        out = judged.join(F.broadcast(params.drop("parts")), F.col("g") == F.col("_g"), "left")
+    else:
+        split = params.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+        own = judged.withColumn("_salt", F.pmod("_h", F.coalesce("parts", F.lit(1 << 20).cast("bigint"))))
+        out = own.join(split, (F.coalesce("g", F.lit("")) == F.col("_g")) & (F.col("_salt") == F.col("_s")), "left")
+    kept = ~F.col("base_failed") & F.coalesce(_distance() <= chi2_quantile(keep, _P), F.lit(True))
     return out.select("_carry", *STATISTICS, "base_failed", _distance().alias("distance"), kept.alias("kept")).select("_carry.*", *STATISTICS, "base_failed", "distance", "kept")
+
+
+def _plan(passed: DataFrame, min_group: int) -> DataFrame:
+    """``own, fits, judge``: for each language and source the group that judges it, and the groups for which its documents are fitted.
+
+    A language, or all documents, is fitted only where some group needs it. One row per language and source.
+    """
+    counts, _ = stored(passed.groupBy("own", "wider").agg(F.count("*").alias("n")), "counts")
+    by_lang = counts.groupBy("wider").agg(F.sum("n").alias("n1"), F.min("n").alias("least"))
+    every = by_lang.agg(F.sum("n1").alias("n2"), F.min("n1").alias("least1"))
+    told = counts.join(by_lang, "wider").crossJoin(F.broadcast(every))
+    entry = lambda g, n: F.struct(g.alias("g"), F.ceil(n / PART_ROWS).cast("bigint").alias("parts"))
+    own, wide, whole_ = entry(F.col("own"), F.col("n")), entry(F.col("wider"), F.col("n1")), entry(F.lit("all"), F.col("n2"))
+    enough = [F.col(c) >= min_group for c in ("n", "n1", "n2")]
+    judge_ = F.when(enough[0], own).when(enough[1], wide).when(enough[2], whole_)
+    fits = F.array_compact(F.array(F.when(enough[0], own), F.when(enough[1] & (F.col("least") < min_group), wide), F.when(enough[2] & (F.col("least1") < min_group), whole_)))
+    return stored(told.select("own", fits.alias("fits"), judge_.alias("judge")), "plan")[0]
