@@ -51,59 +51,87 @@ def unescape_role(role: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """A declarative mapping. ``example`` shows the fields; ``list_path`` names an array of turns with ``role`` and ``text``
-    fields, or ``fields`` lists (role, path) of single turns in order. ``roles`` renames roles."""
+    """A declarative mapping. ``list_path`` names an array of turns with ``role`` and ``text`` fields, or ``fields`` lists (role, field) of
+    single turns in order. ``roles`` renames roles."""
 
     name: str
-    example: str
     list_path: str | None = None
     role: str = "role"
     text: str = "content"
     fields: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 
+    def shapes(self) -> list[set[str]]:
+        """The sets of nested field paths that this layout reads; a list may also be empty."""
+        if self.list_path:
+            return [{self.list_path, f"{self.list_path}[].{self.role}", f"{self.list_path}[].{self.text}"}, {self.list_path}]
+        return [{path for _, path in self.fields}]
+
 
 LAYOUTS = (
-    Layout("messages", '{"messages":[{"role":"","content":""}]}', "$.messages"),
-    Layout("chat_text", '{"turns":[{"role":"","text":""}]}', "$.turns", text="text"),
-    Layout("sharegpt", '{"conversations":[{"from":"","value":""}]}', "$.conversations", role="from", text="value"),
-    Layout("prompt_completion", '{"prompt":"","completion":""}', fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("prompt_response", '{"prompt":"","response":""}', fields=(("user", "$.prompt"), ("assistant", "$.response"))),
-    Layout("question_answer", '{"question":"","answer":""}', fields=(("user", "$.question"), ("assistant", "$.answer"))),
-    Layout("instruction", '{"instruction":"","output":""}', fields=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout("instruction_input", '{"instruction":"","input":"","output":""}', fields=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("system_instruction", '{"system":"","instruction":"","output":""}', fields=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
+    Layout("messages", "messages"),
+    Layout("chat_text", "turns", text="text"),
+    Layout("sharegpt", "conversations", role="from", text="value"),
+    Layout("prompt_completion", fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_response", fields=(("user", "prompt"), ("assistant", "response"))),
+    Layout("question_answer", fields=(("user", "question"), ("assistant", "answer"))),
+    Layout("instruction", fields=(("user", "instruction"), ("assistant", "output"))),
+    Layout("instruction_input", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("system_instruction", fields=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
 )
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field names of a JSON record as one string: names and nesting sorted, values' types left out."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(shape, r"(: |ARRAY<)(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+, ?\d+\))", "$1_")
+def vocabulary(layouts: tuple[Layout, ...] = LAYOUTS) -> set[str]:
+    """All field paths that any layout reads. What a record has besides doesn't count for its fingerprint."""
+    return set().union(*[shape for x in layouts for shape in x.shapes()])
+
+
+def field_paths(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The nested field paths of a JSON record that some layout reads, sorted; null for what isn't a JSON object.
+
+    A field counts whatever its value is, a null too. For a list, fields of any of its elements count.
+    """
+    paths = F.json_object_keys(record)
+    for name in sorted({x.list_path for x in layouts if x.list_path}):
+        # ARRAY<OBJECT<a: STRING, b: ..>>: inner types are cut out, then names stand before their colons
+        shape = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), f"$.{name}", "variant"))
+        inside = F.regexp_extract(shape, r"^ARRAY<OBJECT<(.*)>>$", 1)
+        for _ in range(6):
+            inside = F.regexp_replace(inside, r"<[^<>]*>", "")
+        names = F.regexp_extract_all(inside, F.lit(r"(?:^|, )`?([^,:`]+)`?: "), F.lit(1))
+        paths = F.concat(paths, F.coalesce(_prefixed(names, f"{name}[]."), F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted(vocabulary(layouts))]))))
+
+
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(prefix), n))
 
 
-def layout_fingerprint(record: Column) -> Column:
-    """XXH64 of the field paths; null for what isn't JSON."""
-    paths = field_paths(record)
-    return F.when(paths.isNotNull(), F.xxhash64(paths))
+def layout_fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """XXH64 of the field paths; null for what isn't a JSON object."""
+    paths = field_paths(record, layouts)
+    return F.when(paths.isNotNull(), F.xxhash64(F.array_join(paths, "\n")))
 
 
-def layout_fingerprints(spark: SparkSession, layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, int]:
-    """Layout name to fingerprint; the layouts are code, so their number is fixed."""
-    rows = spark.createDataFrame([(x.name, x.example) for x in layouts], "name string, example string")
-    return {r.name: r.f for r in rows.select("name", layout_fingerprint(F.col("example")).alias("f")).collect()}
+def layout_fingerprints(spark: SparkSession, layouts: tuple[Layout, ...] = LAYOUTS) -> dict[int, str]:
+    """Fingerprint to layout name; the layouts are code, so their number is fixed. Two layouts of one shape are an error."""
+    rows = spark.createDataFrame([(x.name, "\n".join(sorted(shape))) for x in layouts for shape in x.shapes()], "name string, paths string")
+    found = [(r.f, r.name) for r in rows.select("name", F.xxhash64("paths").alias("f")).collect()]
+    if len(dict(found)) < len(found):
+        raise ValueError("two layouts read the same fields")
+    return dict(found)
 
 
-def canonical_turns(record: Column, known: dict[str, int], layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+def canonical_turns(record: Column, known: dict[int, str], layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """The turns of a JSON record by the layout with its fingerprint; null where no layout fits."""
-    kind, out = layout_fingerprint(record), F.lit(None).cast("array<struct<role:string,text:string>>")
+    kind, out = layout_fingerprint(record, layouts), F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in layouts:
         if x.list_path:
-            got = F.from_json(F.get_json_object(record, x.list_path), f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
+            got = F.from_json(F.get_json_object(record, f"$.{x.list_path}"), f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
             turns = _listed_turns(got, x)
         else:
-            turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.get_json_object(record, path), F.lit("")).alias("text")) for role, path in x.fields])
-        out = F.when(kind == F.lit(known[x.name]), turns).otherwise(out)
+            turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.get_json_object(record, f"$.{path}"), F.lit("")).alias("text")) for role, path in x.fields])
+        out = F.when(kind.isin([f for f, name in known.items() if name == x.name]), turns).otherwise(out)
     return out
 
 
@@ -120,24 +148,19 @@ def _renamed(role: Column, layout: Layout) -> Column:
 
 
 def record_turns(records: DataFrame, column: str) -> DataFrame:
-    """``records`` with ``turns`` made from the JSON strings of ``column``; rows of an unknown layout have null turns."""
+    """``records`` with ``turns`` made from the JSON strings of ``column``. Fields that no layout reads don't matter; a nested value where text
+    should be counts as its JSON. Rows of an unknown layout have null turns, so ``unmatched`` can set them apart."""
     known = layout_fingerprints(records.sparkSession)
     return records.withColumn("turns", canonical_turns(F.col(column), known))
 
 
-@dataclass(frozen=True)
-class TableLayout:
-    """A layout of typed columns: ``paths`` are the nested field paths that it reads."""
-
-    name: str
-    paths: tuple[str, ...]
+def unmatched(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(matched, unmatched)`` rows of ``record_turns``: no conversation is lost without being told."""
+    return records.where("turns is not null"), records.where("turns is null")
 
 
-TABLE_LAYOUTS = (
-    TableLayout("turn_rows", ("conv_id", "role", "text", "turn")),
-    TableLayout("nested_turns", ("conv_id", "turns[].role", "turns[].text")),
-    TableLayout("pairs", ("conv_id", "prompt", "response")),
-)
+#: Layouts of typed tables by the columns' nested field paths that they read.
+TABLE_LAYOUTS = {"turn_rows": ("conv_id", "role", "text", "turn"), "nested_turns": ("conv_id", "turns[].role", "turns[].text"), "pairs": ("conv_id", "prompt", "response")}
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
@@ -153,30 +176,40 @@ def path_hash(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+def table_layout(kind: T.DataType) -> str:
+    """The layout of a typed table: its fingerprint, the hash of those of its paths that any layout reads, is looked up among the layouts'. Other
+    columns don't matter; a table with the columns of two layouts, or of none, is an error."""
+    read = {p for paths in TABLE_LAYOUTS.values() for p in paths}
+    own = schema_paths(kind) & read
+    found = {path_hash(paths): name for name, paths in TABLE_LAYOUTS.items()}.get(path_hash(own))
+    if found is None:
+        raise ValueError(f"no layout has just the fields {sorted(own)}")
+    return found
+
+
 def table_turns(df: DataFrame) -> DataFrame:
-    """``(conv_id, turns)`` of a typed table. The hash of the paths that a layout reads, taken over those the table has,
-    selects the mapping; columns that no layout reads don't matter. Raises if no layout fits."""
-    have = schema_paths(df.schema)
-    kind = next((x.name for x in TABLE_LAYOUTS if path_hash(have & set(x.paths)) == path_hash(x.paths)), None)
+    """``(conv_id, turns)`` of a typed table, by ``table_layout``."""
+    kind, empty = table_layout(df.schema), F.lit("")
     if kind == "turn_rows":
         return conversation_turns(df)
-    empty = F.lit("")
     if kind == "nested_turns":
         turns = F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], empty).alias("role"), F.coalesce(t["text"], empty).alias("text")))
         return df.select("conv_id", turns.alias("turns"))
-    if kind == "pairs":
-        pair = [F.struct(F.lit(role).alias("role"), F.coalesce(F.col(c), empty).alias("text")) for role, c in (("user", "prompt"), ("assistant", "response"))]
-        return df.select("conv_id", F.array(*pair).alias("turns"))
-    raise ValueError(f"no layout reads the columns {sorted(have)}")
+    pair = [F.struct(F.lit(role).alias("role"), F.coalesce(F.col(c), empty).alias("text")) for role, c in (("user", "prompt"), ("assistant", "response"))]
+    return df.select("conv_id", F.array(*pair).alias("turns"))
 
 
 def conversation_turns(rows: DataFrame) -> DataFrame:
     """``(conv_id, turns)`` from one row per turn: by turn, then role and text, nulls first; null role or text counts as empty.
 
-    A conversation is one training example and so must fit one row; nothing larger is gathered anywhere.
+    A row without an id is a conversation by itself, so such rows never meet. A conversation is one training example and so
+    must fit one row; nothing larger is gathered anywhere.
     """
     one = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    return one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    plain = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+    alone = one.where("conv_id is null").select("conv_id", plain(F.array("t")))
+    gathered = one.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return gathered.select("conv_id", plain(F.col("t"))).unionByName(alone)
 
 
 # --- template ---------------------------------------------------------------------------------------------------

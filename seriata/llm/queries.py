@@ -124,15 +124,17 @@ OP4_SQL = f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), told AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM rows
 ), sized AS (
-  SELECT *, {_sql_escaped_length("replace(role, chr(10), 'xx')")} + {_sql_escaped_length("text")} + {len(chat.START) + len(chat.END) + 2} AS chars FROM rows
+  SELECT *, {_sql_escaped_length("replace(role, chr(10), 'xx')")} + {_sql_escaped_length("text")} + {len(chat.START) + len(chat.END) + 2} AS chars FROM told
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 OP8_SQL = f"""
