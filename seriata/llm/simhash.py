@@ -131,6 +131,9 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3, radius: int = 2) -> D
 #: Production parameters: bits of a fingerprint, words in a term.
 TERM_WORDS = 2
 SEEDS = (42, 43)
+#: The search: bits that likes may differ in, blocks of a fingerprint, ids that are queries, entries of a key that meet in one task.
+RADIUS, BLOCKS, QUERY_EVERY, HOT_ROWS = 6, 8, 50, 4096
+SALTS = 16
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -199,28 +202,6 @@ def likeness(a: list[Column], b: list[Column]) -> Column:
     return F.greatest(F.lit(0.0), F.cos(F.lit(3.141592653589793) * differing(a, b) / (64.0 * len(a))))
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every whole text and of its edited text, with their likeness and that to the next document.
-
-    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Null text counts
-    as empty (fingerprint zero); repeated rows give one row; extra columns are ignored; an empty table gives no rows.
-    """
-    texts = edited_texts(docs).withColumn("_sha", F.sha2("edited", 256))
-    quarter = [F.conv(F.substring("_sha", 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
-    keys = ["k1", "k2", "n1", "n2", "text_hash", "n_chars", "q0", "q1", "q2", "q3"]
-    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited"))])
-    texts = texts.select("k1", "k2", "n1", "n2", "text_hash", F.char_length("text").cast("bigint").alias("n_chars"), *quarter, F.inline(both))
-    prints = term_fingerprints(texts, [*keys, "kind"])
-    pick = [F.max(F.when(F.col("kind") == k, F.col(f"f{i}"))).alias(f"{n}{i}") for k, n in ((0, "f"), (1, "e")) for i in range(2)]
-    prints, _ = stored(prints.groupBy(*keys).agg(*pick), "prints")
-    lead = prints.groupBy(F.col("k1").alias("n1"), F.col("k2").alias("n2")).agg(F.min(F.struct("text_hash", "f0", "f1")).alias("n"))
-    f, e, n = ([F.col(f"{x}{i}") for i in range(2)] for x in ("f", "e", "n.f"))
-    return prints.join(lead, ["n1", "n2"]).select(
-        F.when(~F.col("k2"), F.col("k1")).alias("doc_id"), "n_chars", F.concat(*[hex16(F.col(f"q{i}")) for i in range(4)]).alias("edited_sha256"),
-        F.concat(*map(hex16, f)).alias("fingerprint"), F.concat(*map(hex16, e)).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"),
-    )
-
-
 # --- permuted block tables --------------------------------------------------------------------------------------
 
 
@@ -244,15 +225,59 @@ def block_keys(fp: list[Column], radius: int, blocks: int) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(*[cut[i] for i in chosen], F.lit(t)).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))])
 
 
-def find_within(queries: DataFrame, index: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
+def find_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT_ROWS) -> DataFrame:
     """Pairs ``(query_f0, query_f1, f0, f1, distance)`` of distinct fingerprints within ``radius`` bits, each once.
 
     Both inputs have ``f0, f1``; equal fingerprints are merged first, so groups of copies count once. Exact: see
-    ``block_keys``. With 128 bits, 8 blocks and radius 6 each of the 28 tables has 32-bit keys.
+    ``block_keys``. With 128 bits, 8 blocks and radius 6 each of the 28 tables has 32-bit keys. Of the index only entries whose key is asked for
+    go on; a key with more than ``hot`` of them is split, and its queries meet every part.
     """
     cols = [F.col("f0"), F.col("f1")]
-    own = index.select("f0", "f1").distinct().select("f0", "f1", F.explode(block_keys(cols, radius, blocks)).alias("k")).select("f0", "f1", "k.table", "k.key")
-    ask = queries.select("f0", "f1").distinct().select(F.col("f0").alias("query_f0"), F.col("f1").alias("query_f1"), F.explode(block_keys(cols, radius, blocks)).alias("k"))
-    ask = ask.select("query_f0", "query_f1", "k.table", "k.key")
+    tables = F.explode(block_keys(cols, radius, blocks)).alias("k")
+    ask = queries.select("f0", "f1").distinct().select(F.col("f0").alias("query_f0"), F.col("f1").alias("query_f1"), tables).select("query_f0", "query_f1", "k.table", "k.key")
+    ask, _ = stored(ask, "asked")
+    own = index.select("f0", "f1").distinct().select("f0", "f1", tables).select("f0", "f1", "k.table", "k.key").join(ask.select("table", "key").distinct(), ["table", "key"], "left_semi")
+    own, _ = stored(own, "entries")
+    large = own.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("table", "key", F.ceil(F.col("_n") / hot).cast("bigint").alias("_parts"))
+    large, _ = stored(large, "large")
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    own = own.join(large, ["table", "key"], "left").withColumn("_part", F.pmod(F.xxhash64("f0", "f1"), parts)).drop("_parts")
+    ask = ask.join(large, ["table", "key"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
     apart = differing([F.col("query_f0"), F.col("query_f1")], cols)
-    return ask.join(own, ["table", "key"]).where(apart <= radius).select("query_f0", "query_f1", "f0", "f1", apart.alias("distance")).distinct()
+    return ask.join(own, ["table", "key", "_part"]).where(apart <= radius).select("query_f0", "query_f1", "f0", "f1", apart.alias("distance")).distinct()
+
+
+# --- the documents ----------------------------------------------------------------------------------------------
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, with their likeness and that to the next document, and the search for likes.
+
+    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within, nearest_bits``. The last two hold
+    for ids divisible by QUERY_EVERY, else null: how many other fingerprints of the table are within RADIUS bits, by the block tables, and the
+    least distance of one (null for none). Null text counts
+    as empty (fingerprint zero); repeated rows give one row; extra columns are ignored; an empty table gives no rows.
+    """
+    texts = edited_texts(docs).withColumn("_sha", F.sha2("edited", 256))
+    quarter = [F.conv(F.substring("_sha", 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
+    keys = ["k1", "k2", "n1", "n2", "text_hash", "n_chars", "q0", "q1", "q2", "q3"]
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited"))])
+    texts = texts.select("k1", "k2", "n1", "n2", "text_hash", F.char_length("text").cast("bigint").alias("n_chars"), *quarter, F.inline(both))
+    prints = term_fingerprints(texts, [*keys, "kind"])
+    pick = [F.max(F.when(F.col("kind") == k, F.col(f"f{i}"))).alias(f"{n}{i}") for k, n in ((0, "f"), (1, "e")) for i in range(2)]
+    prints, _ = stored(prints.groupBy(*keys).agg(*pick), "prints")
+    lead = prints.groupBy(F.col("k1").alias("n1"), F.col("k2").alias("n2")).agg(F.min(F.struct("text_hash", "f0", "f1")).alias("n"))
+    f, e, n = ([F.col(f"{x}{i}") for i in range(2)] for x in ("f", "e", "n.f"))
+    out = prints.join(lead, ["n1", "n2"])
+    asks = ~F.col("k2") & (F.col("k1") % QUERY_EVERY == 0)
+    found = find_within(prints.where(asks), prints).where("distance > 0 or f0 <> query_f0 or f1 <> query_f1")
+    near = found.groupBy(F.col("query_f0").alias("f0"), F.col("query_f1").alias("f1")).agg(F.count("*").alias("n_within"), F.min("distance").cast("int").alias("nearest_bits"))
+    # copies share a fingerprint, so what was found is dealt out SALTS times
+    salted = near.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    asked = out.where(asks).withColumn("_s", F.pmod(F.xxhash64("k1"), F.lit(SALTS))).join(salted, ["f0", "f1", "_s"], "left").withColumn("n_within", F.coalesce("n_within", F.lit(0).cast("bigint")))
+    others = out.where(~asks).withColumns({"n_within": F.lit(None).cast("bigint"), "nearest_bits": F.lit(None).cast("int")})
+    result = [
+        F.when(~F.col("k2"), F.col("k1")).alias("doc_id"), "n_chars", F.concat(*[hex16(F.col(f"q{i}")) for i in range(4)]).alias("edited_sha256"),
+        F.concat(*map(hex16, f)).alias("fingerprint"), F.concat(*map(hex16, e)).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"), "n_within", "nearest_bits",
+    ]
+    return others.select(*result).unionByName(asked.select(*result))

@@ -135,11 +135,52 @@ def test_block_tables_find_all_within_the_radius(spark):
         values += [b ^ sum(1 << x for x in rng.sample(range(128), k)) for k in (0, 1, 3, 5, 6, 7, 9)]
     sign = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(sign(v >> 64), sign(v % (1 << 64))) for v in values], "f0 long, f1 long")
-    got = {((r.query_f0, r.query_f1), (r.f0, r.f1), r.distance) for r in simhash.find_within(df, df, 6, 8).collect()}
-    want = set()
+    got, split = ([((r.query_f0, r.query_f1), (r.f0, r.f1), r.distance) for r in simhash.find_within(df, df, 6, 8, hot).collect()] for hot in (4096, 2))
+    assert len(got) == len(set(got)) and sorted(got) == sorted(split)
+    got, want = set(got), set()
     for a in values:
         for b in values:
             d = bin(a ^ b).count("1")
             if d <= 6:
                 want.add(((sign(a >> 64), sign(a % (1 << 64))), (sign(b >> 64), sign(b % (1 << 64))), d))
     assert got == want
+
+
+def slow_terms(text):
+    """128 bits over word pairs, hashed as chained XXH64 of both words and a seed, weighted by their characters."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    pairs = [(w[i], w[i + 1]) for i in range(len(w) - 1)] if len(w) > 1 else [(w[0] if w else "", "")]
+    total, votes = sum(len(a) + len(b) for a, b in pairs), [0] * 128
+    for a, b in pairs:
+        for k, seed in enumerate((42, 43)):
+            h = 42
+            for part in (a.encode(), b.encode(), seed.to_bytes(4, "little")):
+                h = xxhash.xxh64_intdigest(part, seed=h)
+            for bit in range(64):
+                votes[64 * k + bit] += (h >> bit & 1) * (len(a) + len(b))
+    f = [sum(1 << bit for bit in range(64) if 2 * votes[64 * k + bit] > total) for k in range(2)]
+    return f"{f[0]:016x}{f[1]:016x}"
+
+
+def test_op2_fingerprints_and_search_against_brute_force(spark, tmp_table):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    near = docs.where("doc_id % 50 in (0, 1)").select((F.col("doc_id") * 2 + 100_000).alias("doc_id"), F.concat("text", F.lit(" and a last word")).alias("text"), "lang", "source", "n_chars")
+    rows = docs.unionByName(near)
+    got = {r.doc_id: r for r in op2_document_fingerprints(spark, tmp_table(documents=rows)).collect()}
+    texts = sorted(((r.doc_id, r.text) for r in rows.collect()), reverse=True)
+    assert len(got) == len(texts)
+    for k, (i, t) in enumerate(texts):
+        n, nxt = len(t) // 3, texts[(k + 1) % len(texts)][1]
+        assert got[i].fingerprint == slow_terms(t) and got[i].edited_fingerprint == slow_terms(t[: len(t) - n] + nxt[:n])
+        apart = bin(int(got[i].fingerprint, 16) ^ int(got[i].edited_fingerprint, 16)).count("1")
+        assert abs(got[i].near_edited - simhash_likeness(apart)) < 1e-12
+    prints = {int(r.fingerprint, 16) for r in got.values()}
+    hits = 0
+    for i, r in got.items():
+        if i % 50:
+            assert r.n_within is None and r.nearest_bits is None
+            continue
+        gaps = [d for p in prints if 0 < (d := bin(int(r.fingerprint, 16) ^ p).count("1")) <= 6]
+        assert (r.n_within, r.nearest_bits) == (len(gaps), min(gaps, default=None))
+        hits += len(gaps)
+    assert hits
