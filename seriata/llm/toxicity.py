@@ -60,7 +60,11 @@ class OrdinalModel:
 
 
 def severity_grades(counts: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 to 2 out of two labels: a toxic row's grade goes with the number of its words that are more frequent in toxic rows."""
+    """Grades 0 to 2 out of two labels: a toxic row's grade goes with the number of its words that are more frequent in toxic rows.
+
+    So the upper threshold is fitted to what the features themselves tell: it orders the toxic rows by density, and is no severity that
+    people gave. Where labels have a ``severity``, that is the grade instead.
+    """
     rows = [Counter(), Counter()]
     for c, t in zip(counts, toxic, strict=True):
         rows[int(t)].update(c.keys())
@@ -92,10 +96,10 @@ def telling_words(counts: list[Counter], toxic: np.ndarray) -> list[str]:
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int], l1: float = L1, steps: int = STEPS) -> OrdinalModel:
-    """Proximal gradient steps on the proportional-odds likelihood, rows of each class weighted to equal sums."""
+def fit(texts: list[str | None], toxic: list[int], severity: list[int] | None = None, l1: float = L1, steps: int = STEPS) -> OrdinalModel:
+    """Proximal gradient steps on the proportional-odds likelihood, rows of each class weighted to equal sums. Grades are ``severity`` (0 to 2) or made of ``toxic``."""
     counts = [Counter(text_words(t)) for t in texts]
-    y = severity_grades(counts, np.array(toxic, int)) if texts else np.zeros(0, int)
+    y = np.array(severity, int).clip(0, GRADES - 1) if severity else severity_grades(counts, np.array(toxic, int)) if texts else np.zeros(0, int)
     vocabulary = {w: i for i, w in enumerate(telling_words(counts, y > 0))}
     if not vocabulary or len(set(y)) < 2:
         return OrdinalModel({}, [20.0, 21.0])
@@ -129,14 +133,16 @@ def fit(texts: list[str | None], toxic: list[int], l1: float = L1, steps: int =
     return OrdinalModel({v: float(w[i]) for v, i in vocabulary.items() if w[i]}, [float(x) for x in b])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most ``rows`` labelled ids, those with the smallest hash, leaving out what doesn't fit ``chars``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str | None], list[int], list[int] | None]:
+    """Texts, labels and, if the labels have any, severities (null: the toxic label) of at most ``rows`` labelled ids, those with the smallest hash, leaving out what doesn't fit ``chars``.
 
     The order of files doesn't matter. An id with several labels counts as toxic if one says so; one with several texts
     gives them all. The labels are cut down before the join, so that the text of sampled rows alone moves, and at most
     ``rows`` labels are sent to the tasks.
     """
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    graded = "severity" in labels.columns
+    severity = F.coalesce(F.col("severity").cast("int"), "toxic") if graded else F.col("toxic")
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(severity).alias("severity"))
     chosen = marked.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id")).orderBy("h", "doc_id").limit(rows)
     spread = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     cost = F.sum(F.char_length(F.coalesce("text", F.lit(""))) + 64).alias("n")
@@ -145,9 +151,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
         if total + r.n <= chars:
             total += r.n
             taken.append(r.doc_id)
-    found = spread.where(F.col("doc_id").isin(taken)).select("h", "doc_id", "toxic", "text").collect() if taken else []
+    found = spread.where(F.col("doc_id").isin(taken)).select("h", "doc_id", "toxic", "severity", "text").collect() if taken else []
     found.sort(key=lambda r: (r.h, r.doc_id, r.text or ""))
-    return [r.text for r in found], [r.toxic for r in found]
+    return [r.text for r in found], [r.toxic for r in found], [r.severity for r in found] if graded else None
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel, flag_at: float = FLAG_AT) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -46,6 +47,40 @@ def test_grades_keep_the_labels():
     assert set(grades[toxic == 0]) == {0} and set(grades[toxic == 1]) == {1, 2}
 
 
+def test_query_against_plain_scoring(spark):
+    """The query's model scored by the definition, word by word, over all rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    sample = T.labelled_sample(docs, labels)
+    by_id = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(sample[0]) == len(by_id) and sum(sample[1]) == sum(by_id.values())
+    model = T.fit(*sample)
+    got = {r.doc_id: r for r in op3_toxicity(spark, sf).collect()}
+    for d in docs.collect():
+        words = re.findall(r"[^\W\d_]+", d.text.lower())
+        score = 0.0
+        for w, weight in model.weights.items():
+            n = words.count(w)
+            score += weight * math.log(1 + 1000 * n / len(words)) if n else 0.0
+        p = [1 / (1 + math.exp(b - score)) for b in model.thresholds]
+        base = 1 / (1 + math.exp(model.thresholds[0]))
+        r = got.pop(d.doc_id)
+        assert abs(r.expected_severity - sum(p)) < 1e-9
+        if min(abs(x - T.FLAG_AT) for x in p) > 1e-9 and abs(p[0] - base) > 1e-9:
+            assert r.grade == (sum(x >= T.FLAG_AT for x in p) if p[0] > base else 0)
+    assert not got
+
+
+def test_severities_that_people_gave(spark):
+    words = {0: "calm kind", 1: "rude calm", 2: "vile rude"}
+    rows = [(i, f"{words[i % 3]} text number", i % 3) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(g > 0), g) for i, _, g in rows], "doc_id long, quality int, toxic int, severity int")
+    got = {r.doc_id: r for r in T.classify(docs, labels).collect()}
+    mean = [sum(got[i].expected_severity for i in range(k, 300, 3)) / 100 for k in range(3)]
+    assert mean[0] < mean[1] < mean[2] and {got[i].grade for i in range(2, 300, 3)} == {2}
+
+
 def test_query_covers_the_table(spark):
     sf = "/root/testdata/sf0.01"
     got = op3_toxicity(spark, sf).collect()
@@ -55,9 +90,10 @@ def test_query_covers_the_table(spark):
 
 def test_sample_is_bounded_and_reproducible(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    texts, toxic = T.labelled_sample(docs, labels, rows=300, chars=200_000)
+    texts, toxic, none = T.labelled_sample(docs, labels, rows=300, chars=200_000)
     assert len(texts) == len(toxic) <= 300 and sum(map(len, texts)) <= 200_000
-    assert T.labelled_sample(docs.repartition(7), labels.repartition(3), rows=300, chars=200_000) == (texts, toxic)
+    assert T.labelled_sample(docs.repartition(7), labels.repartition(3), rows=300, chars=200_000) == (texts, toxic, none)
+    assert none is None
 
 
 def test_edges(spark, edge_docs, empty_docs):
