@@ -76,16 +76,23 @@ class WordTokenizer:
         self.used = 0
 
     def _learn(self, fresh: list[str]) -> None:
-        for word, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            k, ids = len(self.at), coded.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k >= len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.at[word] = k
+        coded = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        ids, at = coded.ids, coded.word_ids
+        if at and at[-1] == len(fresh) - 1:  # no unit gives nothing, so each is one of the tokenizer's words
+            lengths = np.bincount(np.array(at), minlength=len(fresh))
+        else:
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            ids, lengths = [i for x in each for i in x], np.array([len(x) for x in each])
+        k = len(self.at)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + len(fresh) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[k : k + len(fresh)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[k : k + len(fresh)] = lengths
+        self.used += len(ids)
+        self.at.update(zip(fresh, range(k, k + len(fresh)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_units:
