@@ -98,7 +98,9 @@ def ball_links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     to one within the smaller half.
     """
     near, far = radius // 2, radius - radius // 2
-    own = fingerprints.select("fingerprint").distinct()
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes now, 65 times as many rows next
+    own = fingerprints.select("fingerprint").distinct().repartition(parts, "fingerprint")
     small = own.select("fingerprint", F.explode(_ball(F.col("fingerprint"), near)).alias("variant"), F.lit(True).alias("inner"))
     met = small if near == far else small.unionByName(own.select("fingerprint", F.explode(_ball(F.col("fingerprint"), far)).alias("variant"), F.lit(False).alias("inner")))
     by = W.partitionBy("variant")
