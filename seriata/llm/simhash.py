@@ -100,7 +100,7 @@ def ball_links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
     near, far = radius // 2, radius - radius // 2
     parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few bytes now, 65 times as many rows next
-    own = fingerprints.select("fingerprint").distinct().repartition(parts, "fingerprint")
+    own = fingerprints.select("fingerprint").distinct().repartition(parts, F.xxhash64("fingerprint"))
     small = own.select("fingerprint", F.explode(_ball(F.col("fingerprint"), near)).alias("variant"), F.lit(True).alias("inner"))
     met = small if near == far else small.unionByName(own.select("fingerprint", F.explode(_ball(F.col("fingerprint"), far)).alias("variant"), F.lit(False).alias("inner")))
     by = W.partitionBy("variant")
@@ -238,7 +238,8 @@ def find_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bloc
     tables = F.explode(block_keys(cols, radius, blocks)).alias("k")
     ask = queries.select("f0", "f1").distinct().select(F.col("f0").alias("query_f0"), F.col("f1").alias("query_f1"), tables).select("query_f0", "query_f1", "k.table", "k.key")
     ask, _ = stored(ask, "asked")
-    own = index.select("f0", "f1").distinct().select("f0", "f1", tables).select("f0", "f1", "k.table", "k.key").join(ask.select("table", "key").distinct(), ["table", "key"], "left_semi")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = index.select("f0", "f1").distinct().repartition(parts, F.xxhash64("f0", "f1")).select("f0", "f1", tables).select("f0", "f1", "k.table", "k.key").join(ask.select("table", "key").distinct(), ["table", "key"], "left_semi")
     own, _ = stored(own, "entries")
     large = own.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("table", "key", F.ceil(F.col("_n") / hot).cast("bigint").alias("_parts"))
     large, _ = stored(large, "large")
