@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,60 @@ def minimum_image(d: Column, length: Column | float) -> Column:
     return d - length * F.floor(d / length + 0.5)
 
 
+def cell_vectors(a: float, b: float, c: float, alpha: float, beta: float, gamma: float) -> list[list[float]]:
+    """Rows are the vectors of a cell from lengths and angles in degrees: the first along x, the second in the xy plane."""
+    ca, cb, cg = (math.cos(math.radians(x)) for x in (alpha, beta, gamma))
+    sg = math.sin(math.radians(gamma))
+    y = (ca - cb * cg) / sg
+    return [[a, 0.0, 0.0], [b * cg, b * sg, 0.0], [c * cb, c * y, c * math.sqrt(max(0.0, 1 - cb * cb - y * y))]]
+
+
+def cell_volume(lengths: list[Column], angles: list[Column]) -> Column:
+    ca, cb, cg = (F.cos(F.radians(x)) for x in angles)
+    return lengths[0] * lengths[1] * lengths[2] * F.sqrt(F.greatest(F.lit(0.0), 1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg))
+
+
+def safe_radius(lengths: list[Column], angles: list[Column]) -> Column:
+    """Half the least distance between opposite faces: spheres up to it don't meet their own images."""
+    faces = [lengths[(i + 1) % 3] * lengths[(i + 2) % 3] * F.sin(F.radians(angles[i])) for i in range(3)]
+    return F.least(*[cell_volume(lengths, angles) / f for f in faces]) / 2
+
+
+def lattice_image(d: list[Column], cell: list[list[float]], most: int = 100_000) -> Column:
+    """The shortest image of a displacement in any cell, skewed ones too, as ``array(x, y, z)``.
+
+    Rounding fractional coordinates gives an image no longer than half the sum of the vectors; every image at most that long
+    lies among lattice steps bounded by the reciprocal vectors, and these are all compared. A cell that needs more than ``most`` steps is an error.
+    """
+    m = np.array(cell, float)
+    reciprocal = np.linalg.inv(m).T
+    longest = np.linalg.norm(m, axis=1).sum() / 2
+    reach = np.floor(np.linalg.norm(reciprocal, axis=1) * longest + 0.5 + 1e-9).astype(int)
+    if np.prod(2.0 * reach + 1) > most:
+        raise ValueError("the cell is too skewed for an exact nearest image")
+    near = [F.floor(total(float(r) * x for r, x in zip(row, d, strict=True)) + 0.5) for row in reciprocal]
+    base = [x - total(float(m[i, k]) * near[i] for i in range(3)) for k, x in enumerate(d)]
+    steps = np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in reach], indexing="ij"), -1).reshape(-1, 3) @ m
+    orthogonal = np.abs(m - np.diag(np.diag(m))).max() == 0
+    if orthogonal:
+        return F.array(*base)
+    shifts = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
+    image = F.transform(shifts, lambda s: F.array(*[x + s[k] for k, x in enumerate(base)]))
+    return F.array_min(F.transform(image, lambda v: F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("d"), v.alias("v"))))["v"]
+
+
+def json_pointer(document: Column, pointer: str) -> Column:
+    """The value at a strict pointer (RFC 6901) as text; NULL where a token is absent. Number tokens read lists as well as objects."""
+    if pointer and not pointer.startswith("/"):
+        raise ValueError("a pointer begins with /")
+    out = document
+    for raw in pointer[1:].split("/") if pointer else []:
+        token = raw.replace("~1", "/").replace("~0", "~")
+        named = F.get_json_object(out, f"$['{token}']")
+        out = F.coalesce(F.get_json_object(out, f"$[{token}]"), named) if token.isdigit() else named
+    return out
+
+
 def wrap_half(a: Column, period: float = 180.0) -> Column:
     """The angle brought into ``[-period / 2, period / 2)``."""
     return F.pmod(a + period / 2, F.lit(period)) - period / 2

@@ -11,10 +11,14 @@ from pyspark.sql import Window as W
 from ..functions.scalars import angle_degrees
 from .joins import neighbor_pairs
 
-#: Residue names of solvent and of standard amino acids, and names of backbone atoms.
-WATER = ("HOH", "WAT", "TIP3", "TIP", "SOL", "SPC")
-AMINO = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
-NUCLEIC = ("A", "C", "G", "U", "DA", "DC", "DG", "DT")
+# Residue names by class, as force fields and structure files write them, and names of backbone atoms.
+WATER = ("HOH", "WAT", "H2O", "DOD", "SOL", "SPC", "SPCE", "TIP", "TIP2", "TIP3", "TIP3P", "TP3", "TIP4", "TIP4P", "T4P", "TIP5", "OPC")
+AMINO = (
+    "ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL",
+    "ASH", "CYM", "CYX", "GLH", "HID", "HIE", "HIP", "HSD", "HSE", "HSP", "LYN", "MSE", "SEC", "PYL", "ACE", "NME", "NMA", "NH2",
+)
+NUCLEIC = ("A", "C", "G", "I", "T", "U", "DA", "DC", "DG", "DI", "DT", "DU", "RA", "RC", "RG", "RU", "A3", "A5", "C3", "C5", "G3", "G5", "U3", "U5", "DA3", "DA5", "DC3", "DC5", "DG3", "DG5", "DT3", "DT5", "ADE", "CYT", "GUA", "THY", "URA")
+ION = ("NA", "NA+", "SOD", "K", "K+", "POT", "CL", "CL-", "CLA", "LI", "RB", "CS", "CES", "MG", "MG2", "CA", "CA2", "CAL", "ZN", "ZN2", "MN", "FE", "CU", "NI", "CO", "BR", "F", "I-")
 BACKBONE = ("N", "CA", "C", "O")
 #: Elements that donate or accept.
 POLAR = ("N", "O", "S", "F")
@@ -40,9 +44,9 @@ def select_atoms(atoms: DataFrame, preset: str | None = None, names: list[str] |
 
 
 def entity_class(residue_name: str = "residue_name") -> Column:
-    """protein, nucleic, water or other."""
-    r = F.upper(residue_name)
-    return F.when(r.isin(*AMINO), "protein").when(r.isin(*NUCLEIC), "nucleic").when(r.isin(*WATER), "water").otherwise("other")
+    """protein, nucleic, water, ion or other."""
+    r = F.upper(F.btrim(F.col(residue_name)))
+    return F.when(r.isin(*AMINO), "protein").when(r.isin(*NUCLEIC), "nucleic").when(r.isin(*WATER), "water").when(r.isin(*ION), "ion").otherwise("other")
 
 
 def chemical_roles(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,34 +123,53 @@ def endpoint_pair_count(donors: DataFrame, acceptors: DataFrame) -> DataFrame:
 # --- integrity gates and stable sites ---------------------------------------------------------------------------
 
 
-def structural_issues(points: DataFrame, reach: float, step: float, contact: float) -> DataFrame:
-    """Broken gates of ``points(frame, id, x, y, z)``: not finite, extent beyond ``reach``, a move over ``step`` since the last frame, or two atoms within ``contact``."""
-    xyz = ("x", "y", "z")
+def structural_issues(points: DataFrame, reach: float, step: float, contact: float, identity: tuple[str, ...] = ()) -> DataFrame:
+    """Broken gates of ``points(*identity, frame, id, x, y, z)``: not finite, extent beyond ``reach``, a move over ``step`` since the last frame, or two
+    atoms within ``contact``. ``identity`` names the columns of system, replica and segment: frames of different ones are never compared."""
+    xyz, keys = ("x", "y", "z"), list(identity)
     finite = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e12) for c in xyz])
-    told = lambda code, df, where: df.select(F.lit("error").alias("severity"), F.lit(code).alias("code"), F.col("frame"), where.cast("string").alias("location"))
+    told = lambda code, df, where: df.select(*keys, F.lit("error").alias("severity"), F.lit(code).alias("code"), F.col("frame"), where.cast("string").alias("location"))
     good = points.where(finite)
-    before = W.partitionBy("id").orderBy("frame")
+    before = W.partitionBy(*keys, "id").orderBy("frame")
     moved = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.lag(c).over(before)) * (F.col(c) - F.lag(c).over(before)) for c in xyz]))
-    wide = good.groupBy("frame").agg(F.greatest(*[F.max(c) - F.min(c) for c in xyz]).alias("extent")).where(F.col("extent") > reach)
-    close = neighbor_pairs(good, good, contact, "frame").where("left_id < right_id")
+    wide = good.groupBy(*keys, "frame").agg(F.greatest(*[F.max(c) - F.min(c) for c in xyz]).alias("extent")).where(F.col("extent") > reach)
+    at = F.struct(*keys, "frame")
+    close = neighbor_pairs(good.withColumn("_at", at), good.withColumn("_at", at), contact, "_at").where("left_id < right_id").select(*[F.col(f"_at.{k}").alias(k) for k in [*keys, "frame"]], "left_id", "right_id")
     parts = [told("not_finite", points.where(~finite), F.col("id")), told("extent", wide, F.col("extent")), told("displacement", good.withColumn("_m", moved).where(F.col("_m") > step), F.col("id")), told("near_coincident", close, F.concat_ws("-", "left_id", "right_id"))]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def stable_sites(points: DataFrame, frames: int, radius: float, least_share: float = 0.5, edge: float | None = None) -> DataFrame:
-    """Sites of one state's ``points(frame, x, y, z)``: ``(site, x, y, z, occupancy, rmsd)`` of grid cells that hold a point in enough frames.
+def stable_sites(points: DataFrame, radius: float, least_share: float = 0.5, least_frames: int = 1, most_rmsd: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sites of each state of ``points(*keys, frame, x, y, z)``: ``(*keys, site, x, y, z, points, frames, occupancy, rmsd, verdict)``.
 
-    Cells of width ``edge`` (the radius by default) are counted once a frame; a cell that no denser neighbour surpasses is a centre, moved to the mean of the points within
-    the radius. Counting is a partial aggregate, so dense sites never meet in one task.
+    Centres are grid cells of one radius that no neighbour surpasses in frames (ties to the lower cell). Points go to their nearest centre within
+    the radius, one pass moves each centre to the mean of its points, and points are assigned anew. Occupancy is distinct frames over the state's; ``verdict``
+    is stable, transient, or not_estimable for a state below ``least_frames``. Counts are partial aggregates; a point meets
+    the few centres of its neighbouring cells, so dense sites never meet in one task.
     """
-    edge = edge or radius
-    cell = [F.floor(F.col(c) / edge).cast("bigint").alias(f"c{c}") for c in "xyz"]
-    counts = points.select("frame", *cell).distinct().groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
-    around = counts.select("n", *[F.col(f"c{c}").alias(f"o{c}") for c in "xyz"], F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])).alias("s"))
-    rivals = around.select(*[(F.col(f"o{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"], F.struct((-F.col("n")).alias("n"), "ox", "oy", "oz").alias("r"))
-    best = rivals.groupBy("cx", "cy", "cz").agg(F.min("r").alias("r")).where("cx = r.ox and cy = r.oy and cz = r.oz")
-    seeds = best.select(F.concat_ws("/", "cx", "cy", "cz").alias("id"), *[((F.col(f"c{c}") + 0.5) * edge).alias(c) for c in "xyz"])
-    rows = points.withColumn("id", F.monotonically_increasing_id())
-    held = neighbor_pairs(seeds, rows, radius).join(rows, F.col("right_id") == F.col("id"))
-    told = held.groupBy(F.col("left_id").alias("site")).agg(*[F.avg(c).alias(c) for c in "xyz"], (F.count_distinct("frame") / frames).alias("occupancy"), F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsd"))
-    return told.where(F.col("occupancy") >= least_share)
+    state, xyz = list(keys), ("x", "y", "z")
+    cell = [F.floor(F.col(c) / radius).cast("bigint").alias(f"c{c}") for c in xyz]
+    sizes = points.groupBy(*state).agg(F.count_distinct("frame").alias("_frames")) if state else points.agg(F.count_distinct("frame").alias("_frames"))
+    counts = points.select(*state, "frame", *cell).distinct().groupBy(*state, "cx", "cy", "cz").agg(F.count("*").alias("n"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])).alias("s")
+    rivals = counts.select(*state, "n", *[F.col(f"c{c}").alias(f"o{c}") for c in xyz], steps).select(*state, *[(F.col(f"o{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in xyz], F.struct((-F.col("n")).alias("n"), "ox", "oy", "oz").alias("r"))
+    best = rivals.groupBy(*state, "cx", "cy", "cz").agg(F.min("r").alias("r")).where("cx = r.ox and cy = r.oy and cz = r.oz")
+    centers = best.select(*state, F.concat_ws("/", "cx", "cy", "cz").alias("site"), *[((F.col(f"c{c}") + 0.5) * radius).alias(c) for c in xyz])
+
+    def members(now: DataFrame) -> DataFrame:
+        """Each point with its nearest centre: points keep their own columns, nothing is joined back by a made-up id."""
+        near = now.select(*state, F.col("site"), *[F.col(c).alias(f"s{c}") for c in xyz], *[F.floor(F.col(c) / radius).cast("bigint").alias(f"o{c}") for c in xyz], steps)
+        near = near.select(*state, F.struct("site", "sx", "sy", "sz").alias("at"), *[(F.col(f"o{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in xyz])
+        held = near.groupBy(*state, "cx", "cy", "cz").agg(F.collect_list("at").alias("near"))
+        gap = lambda a: F.sqrt(reduce(lambda u, v: u + v, [(F.col(c) - a[f"s{c}"]) * (F.col(c) - a[f"s{c}"]) for c in xyz]))
+        told = points.select(*state, "frame", *xyz, *cell).join(held, [*state, "cx", "cy", "cz"])
+        told = told.withColumn("_b", F.array_min(F.transform("near", lambda a: F.struct(gap(a).alias("d"), a["site"].alias("site")))))
+        return told.where(F.col("_b.d") <= radius).select(*state, F.col("_b.site").alias("site"), "frame", *xyz)
+
+    moved = members(centers).groupBy(*state, "site").agg(*[F.avg(c).alias(c) for c in xyz])
+    told = members(moved).groupBy(*state, "site").agg(*[F.avg(c).alias(c) for c in xyz], F.count("*").alias("points"), F.count_distinct("frame").alias("frames"), F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsd"))
+    told = told.join(F.broadcast(sizes), state) if state else told.crossJoin(F.broadcast(sizes))
+    share = F.col("frames") / F.col("_frames")
+    good = (share >= least_share) & (F.lit(True) if most_rmsd is None else F.col("rmsd") <= most_rmsd)
+    verdict = F.when(F.col("_frames") < least_frames, "not_estimable").when(good, "stable").otherwise("transient")
+    return told.select(*state, "site", *xyz, "points", "frames", share.alias("occupancy"), "rmsd", verdict.alias("verdict"))

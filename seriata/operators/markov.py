@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .runs import transition_matrix
 
@@ -12,7 +14,7 @@ MAX_STATES = 2000
 
 
 def count_matrix(df: DataFrame, state: str = "state", lag: int = 1) -> tuple[list, np.ndarray]:
-    rows = transition_matrix(df, state, lag).collect()
+    rows = transition_matrix(df, state, lag).select("from_state", "to_state", "transitions").limit(MAX_STATES**2 + 1).collect()
     states = sorted({x for r in rows for x in (r.from_state, r.to_state)})
     if len(states) > MAX_STATES:
         raise ValueError(f"more than {MAX_STATES} states")
@@ -91,3 +93,40 @@ def vamp2(train: np.ndarray, test: np.ndarray) -> float:
     joint, c0, c1 = left.T @ q @ right, left.T @ np.diag(q.sum(1)) @ left, right.T @ np.diag(q.sum(0)) @ right
     inner = np.linalg.pinv(c0) @ joint @ np.linalg.pinv(c1) @ joint.T
     return float(np.trace(inner))
+
+
+def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joint share of pairs, and the diagonal covariances of indicator features at both ends."""
+    share = counts / counts.sum()
+    return share, np.diag(share.sum(1)), np.diag(share.sum(0))
+
+
+def vamp_fold(train: np.ndarray, test: np.ndarray, regularization: float = 1e-10) -> tuple[float, float]:
+    """``(training VAMP-2, held-out VAMP-E)`` of a model of indicator features fitted on ``train`` counts and scored on ``test`` counts."""
+    cross, left, right = _parts(train)
+    white = lambda c: np.diag(1 / np.sqrt(np.diag(c) + regularization))
+    u, s, v = np.linalg.svd(white(left) @ cross @ white(right))
+    f, g = white(left) @ u, white(right) @ v.T
+    cross, left, right = _parts(test)
+    inner = 2 * s * np.einsum("ik,ij,jk->k", f, cross, g)
+    metric = (s[:, None] * (f.T @ left @ f) * s[None, :]) * (g.T @ right @ g).T
+    return float((s * s).sum()), float(inner.sum() - metric.sum())
+
+
+def timescale_stability(timescales: dict[int, list[float | None]], most: float = 0.2) -> dict:
+    """Spread of each mode's implied timescale over lags, by its median; ``passes`` if every mode known at two lags or more stays within ``most``."""
+    modes = []
+    for mode in range(max(map(len, timescales.values()), default=0)):
+        known = [t[mode] for _, t in sorted(timescales.items()) if mode < len(t) and t[mode] is not None]
+        if len(known) > 1:
+            middle = float(np.median(known))
+            spread = (max(known) - min(known)) / middle if middle > 0 else float("inf")
+            modes.append({"mode": mode + 1, "lags": len(known), "relative_range": spread, "passes": spread <= most})
+    return {"modes": modes, "passes": bool(modes) and all(m["passes"] for m in modes)}
+
+
+def rank_state_models(reports: DataFrame) -> DataFrame:
+    """``reports(candidate_id, passed, vamp_e, ck_rmse, its_range, geometric, states)`` with ``rank``: kinetic checks passed, then held-out VAMP-E, small
+    Chapman-Kolmogorov error, stable timescales, geometric score, fewer states, and last the larger name. Missing figures come last."""
+    best = [F.col("passed").desc(), F.col("vamp_e").desc_nulls_last(), F.col("ck_rmse").asc_nulls_last(), F.col("its_range").asc_nulls_last(), F.col("geometric").desc_nulls_last(), F.col("states").asc(), F.col("candidate_id").desc()]
+    return reports.withColumn("rank", F.row_number().over(W.orderBy(*best)).cast("bigint"))  # one row per candidate

@@ -277,10 +277,26 @@ def structural_gates(spark, sf_dir):
     return bonding.structural_issues(_points(spark, sf_dir), 10.0, 0.2, 0.02)
 
 
-@query(None, "x y z occupancy rmsd")
+def _site_members(centers: str, out: str) -> str:
+    near = " AND ".join(f"abs(floor(p.{c} / 0.1e0) - floor(c.{c} / 0.1e0)) <= 1" for c in "xyz")
+    gap = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in "xyz")
+    return f"""{out} AS (SELECT * FROM (SELECT p.vec_id, p.state, p.frame, p.x, p.y, p.z, c.site, sqrt({gap}) AS d FROM p JOIN {centers} c ON p.state = c.state AND {near}) WHERE d <= 0.1e0
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, site) = 1)"""
+
+
+@query(
+    f"""WITH {VECTORS}, p AS (SELECT vec_id, label % 2 AS state, label AS frame, d0 AS x, d1 AS y, d2 AS z FROM vectors),
+    k AS (SELECT state, CAST(floor(x / 0.1e0) AS BIGINT) AS cx, CAST(floor(y / 0.1e0) AS BIGINT) AS cy, CAST(floor(z / 0.1e0) AS BIGINT) AS cz, count(DISTINCT frame) AS n FROM p GROUP BY ALL),
+    c0 AS (SELECT state, cx || '/' || cy || '/' || cz AS site, (cx + 0.5e0) * 0.1e0 AS x, (cy + 0.5e0) * 0.1e0 AS y, (cz + 0.5e0) * 0.1e0 AS z FROM k a WHERE NOT EXISTS (
+      SELECT 1 FROM k b WHERE b.state = a.state AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1 AND (b.n > a.n OR (b.n = a.n AND (b.cx, b.cy, b.cz) < (a.cx, a.cy, a.cz))))),
+    {_site_members("c0", "m0")}, c1 AS (SELECT state, site, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM m0 GROUP BY ALL), {_site_members("c1", "m1")}, f AS (SELECT state, count(DISTINCT frame) AS frames FROM p GROUP BY state),
+    t AS (SELECT m1.state, site, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS points, count(DISTINCT frame) AS frames, count(DISTINCT frame) / CAST(any_value(f.frames) AS DOUBLE) AS occupancy, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsd, any_value(f.frames) AS all_frames FROM m1 JOIN f ON f.state = m1.state GROUP BY m1.state, site)
+    SELECT * EXCLUDE (all_frames), CASE WHEN all_frames < 3 THEN 'not_estimable' WHEN occupancy >= 0.5 AND rmsd <= 0.09 THEN 'stable' ELSE 'transient' END AS verdict FROM t""",
+    "x y z occupancy rmsd",
+)
 def stable_sites(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    return bonding.stable_sites(p.select("frame", "x", "y", "z"), p.select("frame").distinct().count(), 0.1, 0.5)
+    p = _points(spark, sf_dir).withColumn("state", F.col("frame") % 2)
+    return bonding.stable_sites(p.select("state", "frame", "x", "y", "z"), 0.1, 0.5, least_frames=3, most_rmsd=0.09, keys=("state",))
 
 
 # --- partitions -------------------------------------------------------------------------------------------------

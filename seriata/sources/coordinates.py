@@ -1,5 +1,5 @@
-"""Coordinate and topology files, through Spark's own file reader, so that they may lie in any store. A file is read by one task;
-a DCD reader that is asked for some frames passes over the bytes of the others.
+"""Coordinate and topology files, through Spark's own file reader, so that they may lie in any store. A file is read by one task
+(``dcd`` reads mounted trajectories by ranges of frames).
 
 Frames come as ``(path, frame, points array<array<double>>, cell array<double>)``, lengths in angstrom.
 """
@@ -7,14 +7,17 @@ Frames come as ``(path, frame, points array<array<double>>, cell array<double>)`
 from __future__ import annotations
 
 import io
+import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hybrid36
+from . import dcd
 
 SCHEMA = "path string, frame long, points array<array<double>>, cell array<double>"
 
@@ -87,35 +90,9 @@ def read_frames(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, SCHEMA)
 
 
-def dcd_layout(data: bytes) -> dict:
-    """Byte order, atoms, first frame's offset, bytes a frame and whether frames have a cell, from the head records alone."""
-    order = "<" if struct.unpack("<i", data[:4])[0] == 84 else ">"
-    if struct.unpack(order + "i", data[:4])[0] != 84 or data[4:8] != b"CORD":
-        raise ValueError("not a DCD file")
-    control = struct.unpack(order + "20i", data[8:88])
-    at = 92
-    title = struct.unpack(order + "i", data[at : at + 4])[0]
-    at += title + 8
-    atoms = struct.unpack(order + "i", data[at + 4 : at + 8])[0]
-    at += 12
-    if control[8]:
-        raise ValueError("fixed atoms are not supported")
-    cell = bool(control[10])
-    return {"order": order, "atoms": atoms, "first": at, "bytes": (56 if cell else 0) + 3 * (4 * atoms + 8), "cell": cell, "frames": control[0]}
-
-
-def dcd_frame(data: bytes, layout: dict) -> tuple[np.ndarray, list | None]:
-    at, cell = 0, None
-    if layout["cell"]:
-        a, gamma, b, beta, alpha, c = struct.unpack(layout["order"] + "6d", data[4:52])
-        cell, at = [a, b, c, alpha, beta, gamma], 56
-    n = layout["atoms"]
-    axes = [np.frombuffer(data, layout["order"] + "f4", n, at + 4 + k * (4 * n + 8)) for k in range(3)]
-    return np.stack(axes, 1).astype(float), cell
-
-
 def read_dcd(spark: SparkSession, path: str, frames: list[int] | None = None) -> DataFrame:
-    """Frames of DCD files; with ``frames``, only those are decoded, the bytes of others are passed over."""
+    """Frames of DCD files in any store that Spark reads, each file whole (2 GB at most); ``dcd.read_dcd`` reads mounted files by ranges. With ``frames``,
+    only those are decoded."""
     wanted = None if frames is None else frozenset(frames)
 
     def rows(batches: Iterator) -> Iterator:
@@ -124,16 +101,35 @@ def read_dcd(spark: SparkSession, path: str, frames: list[int] | None = None) ->
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_buffer()
-                layout = dcd_layout(bytes(data.slice(0, min(data.size, 1 << 16))))
-                count = (data.size - layout["first"]) // layout["bytes"]
-                for k in range(count):
-                    if wanted is None or k in wanted:
-                        points, cell = dcd_frame(bytes(data.slice(layout["first"] + k * layout["bytes"], layout["bytes"])), layout)
-                        yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([k], pa.int64()), pa.array([points.tolist()], pa.list_(pa.list_(pa.float64()))), pa.array([cell], pa.list_(pa.float64()))], ["path", "frame", "points", "cell"])
+                with pa.BufferReader(data) as f:
+                    layout = dcd.read_layout(f, data.size)
+                    for k in range(layout.frames):
+                        if wanted is None or k in wanted:
+                            points, cell = dcd.read_frame(f, layout, k)
+                            yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([k], pa.int64()), pa.array([list(points)], pa.list_(pa.list_(pa.float64()))), pa.array([cell], pa.list_(pa.float64()))], ["path", "frame", "points", "cell"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, SCHEMA)
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of a file or folder by the suffix of its path (or, for a folder, of the files in it that a reader knows)."""
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else None
+    if kind is not None:
+        if kind not in (*FORMATS, "dcd"):
+            raise ValueError(f"no reader for .{kind}")
+        return read_frames(spark, path, kind)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("k")).distinct()
+    kinds = sorted(r.k for r in names.collect() if r.k in (*FORMATS, "dcd"))
+    if not kinds:
+        raise ValueError("no file with a known suffix")
+    parts = [_filtered(spark, path, k) for k in kinds]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _filtered(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return read_frames(spark, f"{path.rstrip('/')}/*.{kind}", kind)
+
+
 def write_dcd(frames: np.ndarray, cells: list | None = None) -> bytes:
     """A little-endian DCD file of frames x atoms x 3."""
 
@@ -163,6 +159,49 @@ def read_pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_gro_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """Atom rows of the first frame of GRO files by fixed columns, in angstrom. Serial numbers wrap at 100,000, so ``serial`` is the place in the file."""
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                lines = content.as_py().decode().splitlines()
+                atoms = lines[2 : 2 + int(lines[1])]
+                if len(atoms) < int(lines[1]):
+                    raise ValueError("the frame is cut short")
+                cut = lambda a, b, atoms=atoms: [r[a:b].strip() for r in atoms]
+                cols = [list(range(1, len(atoms) + 1)), cut(10, 15), cut(5, 10), [int(v) for v in cut(0, 5)], *[[10 * float(v) for v in cut(a, a + 8)] for a in (20, 28, 36)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["serial", "atom_name", "residue_name", "residue_number", "x", "y", "z"])
+
+    made = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "serial long, atom_name string, residue_name string, residue_number long, x double, y double, z double")
+    return made.withColumn("element", F.upper(F.substring(F.regexp_replace("atom_name", r"\d", ""), 1, 1)))
+
+
+def json_bonds(text: str) -> list[tuple[int, int]]:
+    """Zero-based bonds of a JSON document: a list of pairs, or one under ``bonds``."""
+    document = json.loads(text)
+    return [(int(a), int(b)) for a, b in (document["bonds"] if isinstance(document, dict) else document)]
+
+
+def read_bonds(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``(path, a, b)`` with a < b of json, psf or prmtop files. An atom bonded to itself, a negative number or a bond told twice fails the read."""
+    parse = {"json": json_bonds, "psf": psf_bonds, "prmtop": prmtop_bonds}[kind]
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                pairs = sorted((min(p), max(p)) for p in parse(content.as_py().decode()))
+                if any(a == b or a < 0 for a, b in pairs) or len(set(pairs)) < len(pairs):
+                    raise ValueError("a bond is not between two atoms, or is told twice")
+                yield pa.RecordBatch.from_arrays([pa.array([where] * len(pairs)), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["path", "a", "b"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, a long, b long")
+
+
 def psf_bonds(text: str) -> list[tuple[int, int]]:
     """Zero-based bonds of a PSF file."""
     lines = text.splitlines()

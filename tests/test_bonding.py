@@ -56,8 +56,22 @@ def test_gates(spark):
 def test_sites(spark):
     rng = np.random.default_rng(1)
     rows = [(f, *map(float, np.array(c) + rng.normal(0, 0.05, 3))) for f in range(40) for c in ((1.5, 1.5, 1.5), (7.5, 1.5, 1.5))] + [(f, *map(float, rng.uniform(0, 30, 3))) for f in range(40)]
-    got = bonding.stable_sites(spark.createDataFrame(rows, "frame long, x double, y double, z double"), 40, 1.0, 0.9).orderBy("x").collect()
-    assert [round(r.x, 1) for r in got] == [1.5, 7.5] and all(r.rmsd < 0.3 for r in got)
+    df = spark.createDataFrame(rows, "frame long, x double, y double, z double")
+    got = bonding.stable_sites(df, 1.0, 0.9).where("verdict = 'stable'").orderBy("x").collect()
+    assert [round(r.x, 1) for r in got] == [1.5, 7.5] and all(r.rmsd < 0.3 and r.frames >= 36 for r in got)
+    assert {r.verdict for r in bonding.stable_sites(df, 1.0, least_frames=41).collect()} == {"not_estimable"}
+
+
+def test_gates_never_compare_replicas(spark):
+    rows = [("a", 0, 1, 0.0, 0.0, 0.0), ("b", 1, 1, 90.0, 0.0, 0.0), ("b", 2, 1, 99.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "replica string, frame long, id long, x double, y double, z double")
+    assert [(r.replica, r.frame, r.code) for r in bonding.structural_issues(df, 50.0, 5.0, 0.5, ("replica",)).collect()] == [("b", 2, "displacement")]
+
+
+def test_names_of_residues(spark):
+    names = ["TIP3P", "SPCE", "HID", "CYX", "ACE", "HSD", "DT5", "NA+", "ZN2", "LIG", " wat "]
+    got = [r.e for r in spark.createDataFrame([(n,) for n in names], "residue_name string").select(bonding.entity_class().alias("e")).collect()]
+    assert got == ["water", "water", *["protein"] * 4, "nucleic", "ion", "ion", "other", "water"]
 
 
 def test_text_sinks(spark, tmp_path):

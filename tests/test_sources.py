@@ -85,3 +85,25 @@ def test_assertions(spark):
     expected = spark.createDataFrame([("a", "equal", "1", None), ("b", "close", "2", 0.1), ("c", "contains", "x", None), ("d", "is_null", None, None), ("e", "equal", "1", None)], "name string, operator string, expected string, tolerance double")
     observed = spark.createDataFrame([("a", "1"), ("b", "2.05"), ("c", "axb"), ("d", None), ("e", "2")], "name string, value string")
     assert {r.name: r.passed for r in manifests.compare_values(expected, observed).collect()} == {"a": True, "b": True, "c": True, "d": True, "e": False}
+
+
+def test_bonds_and_topology(spark, tmp_path):
+    made = {"json": '{"bonds": [[1, 0], [1, 2]]}', "psf": "PSF\n\n       2 !NBOND: bonds\n       1       2       3       2\n", "prmtop": "%FLAG BONDS_INC_HYDROGEN\n%FORMAT(10I8)\n       0       3       1\n%FLAG BONDS_WITHOUT_HYDROGEN\n%FORMAT(10I8)\n       3       6       1\n"}
+    for kind, text in made.items():
+        rows = coordinates.read_bonds(spark, write(tmp_path / f"b.{kind}", text), kind)
+        assert sorted((r.a, r.b) for r in rows.collect()) == [(0, 1), (1, 2)]
+    with pytest.raises(Exception, match="told twice"):
+        coordinates.read_bonds(spark, write(tmp_path / "c.json", "[[0, 1], [1, 0]]"), "json").count()
+    gro = "title\n2\n    1SOL     OW    1   0.100   0.200   0.300\n    1SOL    HW1    2   0.150   0.200   0.300\n   1.0 1.0 1.0\n"
+    atoms = coordinates.read_gro_atoms(spark, write(tmp_path / "a.gro", gro)).orderBy("serial").collect()
+    assert [(r.atom_name, r.residue_name, r.element, round(r.x, 3)) for r in atoms] == [("OW", "SOL", "O", 1.0), ("HW1", "SOL", "H", 1.5)]
+
+
+def test_readers_by_suffix(spark, tmp_path):
+    write(tmp_path / "d" / "a.pdb", PDB)
+    write(tmp_path / "d" / "b.xyz", "1\n\nC 0 0 1\n")
+    write(tmp_path / "d" / "c.dcd", coordinates.write_dcd(np.zeros((3, 2, 3)), None))
+    write(tmp_path / "d" / "notes.txt", "x")
+    assert coordinates.read_any(spark, f"file://{tmp_path}/d").count() == 6 and coordinates.read_any(spark, f"file://{tmp_path}/d/b.xyz").count() == 1
+    with pytest.raises(ValueError, match="no reader"):
+        coordinates.read_any(spark, f"file://{tmp_path}/d/notes.txt")
