@@ -34,7 +34,7 @@ def product_sums(df: DataFrame, columns: list[str], others: list[str] | None = N
     """``(i, n, total, products)`` for each of ``columns``: rows, sum, and sums of its products with each of ``others`` (itself and its like without them).
 
     A task multiplies its Arrow batches block by block and hands on one row per column; these rows are added up per column, so nothing but
-    tasks x width doubles meets in one place. Rows with a NULL are left out.
+    tasks x width doubles meets in one place. Rows with a NULL or NaN are left out.
     """
     names = [*columns, *(others or [])]
     width, schema = len(columns), "i int, n long, total double, products array<double>"
@@ -45,6 +45,7 @@ def product_sums(df: DataFrame, columns: list[str], others: list[str] | None = N
         count, totals, sums = 0, np.zeros(width), np.zeros((width, len(others or columns)))
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if len(batch) else np.zeros((0, len(names)))
+            x = x[~np.isnan(x).any(1)]
             left = x[:, :width]
             count, totals = count + len(x), totals + left.sum(0)
             sums += left.T @ (x[:, width:] if others else left)
@@ -58,7 +59,7 @@ def product_sums(df: DataFrame, columns: list[str], others: list[str] | None = N
         products = np.stack(table["products"].to_numpy()).sum(0)
         return pa.table({"i": table["i"][:1], "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "total": [float(np.sum(table["total"].to_numpy()))], "products": pa.array([products], pa.list_(pa.float64()))})
 
-    doubles = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)]).dropna()
+    doubles = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
     return doubles.mapInArrow(partial, schema).groupBy("i").applyInArrow(added, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import series_queries, structure_queries  # noqa: F401  they register themselves
+from . import series_queries, structure_queries, validation_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

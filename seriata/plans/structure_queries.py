@@ -387,8 +387,9 @@ def kmeans_partition(spark, sf_dir):
 
 @query()
 def alternative_partitions(spark, sf_dir):
-    rows = clustering.sweep(_short(spark, sf_dir), "vec_id", "v", 120)
-    return spark.createDataFrame([(r["name"], r["states"], r["valid"], r["retained_fraction"], r["silhouette"]) for r in rows], "name string, states int, valid boolean, retained_fraction double, silhouette double")
+    rows = clustering.sweep(_short(spark, sf_dir), "vec_id", "v", 500)
+    names = ("name", "states", "valid", "retained_fraction", "silhouette", "full_retained_fraction", "full_states")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "name string, states int, valid boolean, retained_fraction double, silhouette double, full_retained_fraction double, full_states long")
 
 
 @query()
@@ -399,20 +400,22 @@ def minkowski_partition(spark, sf_dir):
     return clustering.assign_nearest(rows, "v", part.centers, 1.5, part.weights).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-_PALD = f"""{VECTORS}, f AS (SELECT vec_id, d0, d1, d2 FROM vectors ORDER BY sha256(CAST(vec_id AS VARCHAR)), vec_id LIMIT 40), d AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.d0 - b.d0) * (a.d0 - b.d0) + (a.d1 - b.d1) * (a.d1 - b.d1) + (a.d2 - b.d2) * (a.d2 - b.d2)) AS d FROM f a CROSS JOIN f b),
-t AS (SELECT p.i, p.j, x.i AS k, x.d AS di, y.d AS dj, count(*) OVER (PARTITION BY p.i, p.j) AS size FROM d p JOIN d x ON x.j = p.i JOIN d y ON y.i = x.i AND y.j = p.j WHERE p.i <> p.j AND (x.d <= p.d OR y.d <= p.d))"""
+#: Rows of a local-depth sample; the work grows with its cube.
+_DEPTH_ROWS = 500
+_PALD = f"""{VECTORS}, f AS (SELECT vec_id, d0, d1, d2 FROM vectors ORDER BY sha256(CAST(vec_id AS VARCHAR)), vec_id LIMIT {_DEPTH_ROWS}), d AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.d0 - b.d0) * (a.d0 - b.d0) + (a.d1 - b.d1) * (a.d1 - b.d1) + (a.d2 - b.d2) * (a.d2 - b.d2)) AS d FROM f a CROSS JOIN f b),
+t AS (SELECT p.i, p.j, count(*) AS size, sum(CASE WHEN x.d < y.d THEN 1.0e0 WHEN x.d = y.d THEN 0.5e0 ELSE 0 END) AS nearer FROM d p JOIN d x ON x.j = p.i JOIN d y ON y.i = x.i AND y.j = p.j WHERE p.i <> p.j AND (x.d <= p.d OR y.d <= p.d) GROUP BY p.i, p.j)"""
 
 
-@query(f"WITH {_PALD} SELECT i AS vec_id, sum(CASE WHEN di < dj THEN 1.0e0 / size WHEN di = dj THEN 0.5e0 / size ELSE 0 END) / 39 AS local_depth, sum(CASE WHEN k = i THEN 1.0e0 / size ELSE 0 END) / 39 AS self_cohesion FROM t GROUP BY i", "local_depth self_cohesion")
+@query(f"WITH {_PALD} SELECT i AS vec_id, sum(nearer / size) / (SELECT count(*) - 1 FROM f) AS local_depth, sum(1.0e0 / size) / (SELECT count(*) - 1 FROM f) AS self_cohesion FROM t GROUP BY i", "local_depth self_cohesion")
 def local_depths(spark, sf_dir):
-    keys, x = clustering.sample_matrix(vectors(spark, sf_dir).select("vec_id", F.array(*DIMS[:3]).alias("v")), "vec_id", "v", 40)
+    keys, x = clustering.sample_matrix(vectors(spark, sf_dir).select("vec_id", F.array(*DIMS[:3]).alias("v")), "vec_id", "v", _DEPTH_ROWS)
     c = clustering.local_depths(clustering.distances(x))
     return spark.createDataFrame([(k, float(a), float(b)) for k, a, b in zip(keys, c.sum(1), np.diag(c), strict=True)], "vec_id long, local_depth double, self_cohesion double")
 
 
 @query()
 def depth_communities(spark, sf_dir):
-    keys, x = clustering.sample_matrix(_short(spark, sf_dir), "vec_id", "v", 60)
+    keys, x = clustering.sample_matrix(_short(spark, sf_dir), "vec_id", "v", _DEPTH_ROWS)
     labels, _ = clustering.communities(clustering.local_depths(clustering.distances(x)))
     return spark.createDataFrame(list(zip(keys, labels, strict=True)), "vec_id long, community long")
 
