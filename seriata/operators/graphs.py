@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .model import held
+
 
 def threshold_edges(pairs: DataFrame, value: str, limit: float, negative: bool = True) -> DataFrame:
     """``(i, j, weight)`` of pairs whose absolute value reaches the limit; undefined pairs are no edges."""
@@ -36,22 +38,17 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     Each round is checkpointed to the shared folder where one is set, so that a lost executor repeats one round at most, and the round before is let go.
     """
     both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    context = nodes.sparkSession.sparkContext
-    named = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named and not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    saved = bool(context.getCheckpointDir())
-    now, held = nodes.select("node", F.col("node").alias("component")), None
+    now, last = nodes.select("node", F.col("node").alias("component")), None
     for _ in range(max_rounds):
         near = both.join(now, F.col("j") == F.col("node")).groupBy("i").agg(F.min("component").alias("least"))
         step = now.join(near, F.col("node") == F.col("i"), "left").select("node", F.least("component", "least").alias("component"), F.col("component").alias("was"))
         hop = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         step = step.join(hop, "component").select("node", F.col("further").alias("component"), "was")
-        step = step.checkpoint() if saved else step.persist()
+        step, saved = held(step)
         changed = step.where("component <> was").limit(1).count()
-        if held is not None:
-            held.unpersist()
+        if last is not None:
+            last.unpersist()
         if not changed:
             return step.select("node", "component")
-        now, held = step.select("node", "component"), None if saved else step
+        now, last = step.select("node", "component"), None if saved else step
     raise RuntimeError("labels still change")

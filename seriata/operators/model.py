@@ -38,3 +38,13 @@ def order_issues(df: DataFrame, axis: str) -> DataFrame:
     marked = df.withColumn("_back", back).withColumn("_n", F.count("*").over(W.partitionBy(*ID, ORD)))
     where = F.concat_ws("/", *[F.col(c).cast("string") for c in [*ID, ORD]])
     return issues(marked, "axis_not_increasing", F.col("_back"), where, f"{axis} does not increase").unionByName(issues(marked, "duplicate_frame", F.col("_n") > 1, where, "frame index is not unique"))
+
+
+def held(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` worked out once, for plans that read it again and again: checkpointed to the shared folder where one is set, else persisted, and whether it is saved."""
+    context = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    saved = bool(context.getCheckpointDir())
+    return df.checkpoint() if saved else df.persist(), saved

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars
-from ..operators import bonding, clustering, convergence, distributions, information, linear, markov, sampling
+from ..operators import bonding, clustering, convergence, distributions, information, linear, markov, reports, sampling, summaries
 from ..operators.runs import time_folds
 from ..sources import coordinates, dcd, exports
 from .bindings import DIMS, SERIES, VECTORS, series, table, vectors
@@ -374,3 +374,79 @@ def kmeans_grid(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("vec_id", F.array(*DIMS).alias("v"))
     made = clustering.kmeans_grid(rows, "vec_id", "v", (2, 3, 4, 5), (1, 2, 3))
     return spark.createDataFrame([(r["k"], r["seed"], r["silhouette"], r["stability"], r["rank"]) for r in made], "k int, seed int, silhouette double, stability double, rank int")
+
+
+# --- partial results and findings -------------------------------------------------------------------------------
+
+
+@query(f"WITH {SERIES} SELECT system_id, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS least, max(value) AS most FROM series GROUP BY system_id", "mean sd")
+def merged_partials(spark, sf_dir):
+    """Replicas' summaries behind a coverage gate, put together to those of all rows."""
+    rows = series(spark, sf_dir)
+    partials = rows.groupBy("system_id", "replica_id").agg(*summaries.summary_columns(F.col("value"))[:3], F.min("value").alias("least"), F.max("value").alias("most"))
+    expected = rows.select("system_id", "replica_id").distinct()
+    return reports.merged_moments(reports.covered_partials(partials, expected, ["system_id", "replica_id"]), ["system_id"])
+
+
+@query("SELECT item, row_number() OVER (ORDER BY item) - 1 AS index FROM (SELECT DISTINCT p_brand || '/' || p_type || '/' || p_size AS item FROM part)")
+def numbered_dictionary(spark, sf_dir):
+    return reports.numbered_union(table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("item")), "item")
+
+
+_FINDINGS = "f AS (SELECT l_returnflag || l_linestatus AS module, l_quantity AS score, 'part ' || (l_partkey % 97) AS statement, 'supplier ' || (l_suppkey % 23) AS report, l_orderkey * 8 + l_linenumber AS id FROM lineitem)"
+
+
+def _findings(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("module"), F.col("l_quantity").alias("score"), F.concat(F.lit("part "), F.col("l_partkey") % 97).alias("statement"), F.concat(F.lit("supplier "), F.col("l_suppkey") % 23).alias("report"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")
+    )
+
+
+def _unique(spark, sf_dir):
+    return reports.unique_findings(_findings(spark, sf_dir), ["module", "statement"], "report", F.struct((-F.col("score")).alias("s"), "id"), most=3)
+
+
+_UNIQUE = f"{_FINDINGS}, u AS (SELECT module, statement, first(score ORDER BY score DESC, id) AS score, first(id ORDER BY score DESC, id) AS id, count(*) AS reports, array_to_string(list_slice(list_sort(list_distinct(list(report))), 1, 3), ',') AS sources FROM f GROUP BY module, statement)"
+
+
+@query(f"WITH {_UNIQUE} SELECT * FROM u")
+def unique_findings(spark, sf_dir):
+    return _unique(spark, sf_dir).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"WITH {_UNIQUE}, r AS (SELECT *, row_number() OVER (ORDER BY reports DESC, score DESC, module, statement) AS rank FROM u) SELECT module, statement, score, reports, rank, rank <= 12 AS headline FROM r WHERE rank <= 50")
+def headline_findings(spark, sf_dir):
+    order = [F.col("reports").desc(), F.col("score").desc(), F.col("module"), F.col("statement")]
+    return reports.headlines(_unique(spark, sf_dir), order).select("module", "statement", "score", "reports", "rank", "headline")
+
+
+@query("SELECT 'error' AS severity, 'part' AS code, CAST(l_partkey % 50 AS VARCHAR) AS location, 'm' || (l_suppkey % 3) AS message, count(*) AS reported FROM lineitem GROUP BY ALL")
+def repeated_issues(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("error").alias("severity"), F.lit("part").alias("code"), (F.col("l_partkey") % 50).cast("string").alias("location"), F.concat(F.lit("m"), F.col("l_suppkey") % 3).alias("message"))
+    return reports.unique_issues(rows)
+
+
+@query(
+    f"""WITH {VECTORS}, m AS (SELECT label % 2 AS system_id, vec_id // 4 AS frame, vec_id % 4 AS member, [d0, d1] AS s FROM vectors), l AS (SELECT system_id, frame, member, unnest([1, 2]) AS component, unnest(s) AS x FROM m)
+    SELECT a.system_id, a.member AS left_member, b.member AS right_member, a.component AS left_component, b.component AS right_component, count(*) AS pairs, CASE WHEN count(*) >= 20 THEN corr(a.x, b.x) END AS correlation
+    FROM l a JOIN l b ON a.system_id = b.system_id AND a.frame = b.frame AND a.member < b.member GROUP BY ALL""",
+    "correlation",
+)
+def member_coupling(spark, sf_dir):
+    """Four members to a frame; a pair counts where both are of one system."""
+    rows = vectors(spark, sf_dir).select((F.col("label") % 2).alias("system_id"), F.floor(F.col("vec_id") / 4).alias("frame"), (F.col("vec_id") % 4).alias("member"), "d0", "d1")
+    return reports.member_correlations(rows, ["system_id"], "frame", "member", ["d0", "d1"])
+
+
+@query(
+    f"""WITH {VECTORS}, r AS (SELECT vec_id, label, 1 + vec_id % 3 AS w, list_slice(v, 1, 6) AS v FROM vectors), j AS (SELECT unnest(range(1, 7)) AS j), l AS (SELECT vec_id, label, w, j, v[j] AS x FROM r CROSS JOIN j),
+    c AS (SELECT label, j, sum(x * w) / sum(w) AS c FROM l GROUP BY ALL), n AS (SELECT l.vec_id, l.label, any_value(w) AS w, sqrt(sum(pow(x - c, 2)) / 2) AS rmsd FROM l JOIN c ON c.label = l.label AND c.j = l.j GROUP BY ALL),
+    t AS (SELECT label, sum(rmsd * w) / sum(w) AS m, sqrt(greatest(0, sum(rmsd * rmsd * w) / sum(w) - pow(sum(rmsd * w) / sum(w), 2))) AS s, first(vec_id ORDER BY rmsd, vec_id) AS closest FROM n GROUP BY label),
+    p AS (SELECT a.label, a.vec_id AS k, b.vec_id AS o, any_value(b.w) AS w, sqrt(sum(pow(a.x - b.x, 2)) / 2) AS d FROM l a JOIN l b ON a.label = b.label AND a.j = b.j GROUP BY ALL), q AS (SELECT label, k, sum(d * w) / sum(w) AS cost FROM p GROUP BY ALL),
+    e AS (SELECT label, first(k ORDER BY cost, k) AS medoid FROM q GROUP BY label)
+    SELECT n.label, n.vec_id, rmsd, n.vec_id = closest AS closest, rmsd <= m + s AS central, n.vec_id = medoid AS medoid FROM n JOIN t ON t.label = n.label JOIN e ON e.label = n.label""",
+    "rmsd",
+)
+def central_frames(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("label", "vec_id", F.slice("v", 1, 6).alias("p"), (1 + F.col("vec_id") % 3).alias("w"))
+    return reports.representative_frames(rows, "label", "vec_id", "p", "w")
