@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -70,6 +72,25 @@ def test_op10_on_the_table(spark):
     check(rows, Counter(d.source for d in docs), mixing.BLOCK)
 
 
+def test_op10_against_plain_edf(spark):
+    """Slot by slot over the whole table: of all released blocks the one with the earliest deadline, exact fractions throughout."""
+    sf = "/root/testdata/sf0.01"
+    sizes = Counter(d.source for d in spark.read.parquet(f"{sf}/documents.parquet").select("source").collect())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    share = {s: Fraction(sizes[s] ** mixing.ALPHA) for s in names}
+    share = {s: w / sum(share.values()) for s, w in share.items()}
+    left, done, want, slot = {s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, Counter(), {}, 0
+    while any(done[s] < left[s] for s in names):
+        ready = [(math.ceil((done[s] + 1) / share[s]), names.index(s)) for s in names if done[s] < left[s] and math.floor(done[s] / share[s]) <= slot]
+        if ready:
+            s = names[min(ready)[1]]
+            want[s, done[s]] = slot
+            done[s] += 1
+        slot += 1
+    got = {(r.source, r.block): r.slot for r in op10_mixing(spark, sf).collect()}
+    assert got == want
+
+
 def test_weights_parts_and_edges(spark, edge_docs, empty_docs):
     assert mixing.schedule(empty_docs).count() == 0
     rows = mixing.schedule(edge_docs, block=2).collect()
