@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations, product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import minimum_image, ratio, total
+from .model import bounded, held
 
 XYZ = ("x", "y", "z")
 
@@ -70,6 +72,72 @@ def group_distances(pairs: DataFrame, left_group: str, right_group: str) -> Data
     return told.select(left_group, right_group, "pairs", F.col("b.distance").alias("min_distance"), F.col("b.left_id").alias("left_id"), F.col("b.right_id").alias("right_id"), "mean_distance", "max_distance")
 
 
+def group_pair_distances(points: DataFrame, block: int = 1024) -> DataFrame:
+    """``(frame, left_group, right_group, pairs, min_distance, left_id, right_id, mean_distance, max_distance)`` over all pairs of ``points(frame, grp, id, x, y, z)``
+    of two groups of a frame, near or far; the closest pair's ties go by ids.
+
+    A frame goes to one task, where blocks of distances are added up; no pair becomes a row.
+    """
+    schema = "frame long, left_group string, right_group string, pairs long, min_distance double, left_id long, right_id long, mean_distance double, max_distance double"
+
+    def told(rows):
+        import pandas as pd
+
+        rows, out = rows.sort_values("id"), []
+        parts = {g: (r["id"].to_numpy(), r[list(XYZ)].to_numpy(float)) for g, r in rows.groupby("grp", sort=True)}
+        for a, b in combinations(parts, 2):
+            (ia, pa), (ib, pb) = parts[a], parts[b]
+            total_, most, best = 0.0, 0.0, (np.inf, 0, 0)
+            for lo in range(0, len(pa), block):
+                d = np.sqrt(((pa[lo : lo + block, None] - pb[None]) ** 2).sum(2))
+                total_, most = total_ + d.sum(), max(most, d.max())
+                i, j = np.unravel_index(d.argmin(), d.shape)
+                best = min(best, (d[i, j], int(ia[lo + i]), int(ib[j])))
+            out.append((rows["frame"].iloc[0], str(a), str(b), len(pa) * len(pb), *best, total_ / (len(pa) * len(pb)), most))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+    return points.select(F.col("frame").cast("bigint").alias("frame"), "grp", F.col("id").cast("bigint").alias("id"), *XYZ).groupBy("frame").applyInPandas(told, schema)
+
+
+def species_shells(nearest_rows: DataFrame, frames: DataFrame, shells: list[float]) -> DataFrame:
+    """``(species, shell, frames, mean, sd, least, most)`` of how many particles of each species lie within each shell, over every row of ``frames(frame)``: a frame without
+    one counts as zero. ``nearest_rows(frame, species, particle, distance)``; sums and squares are added up, so partial results could be too."""
+    inside = [F.count_if(F.col("distance") <= s).alias(f"s{k}") for k, s in enumerate(shells)]
+    counts = nearest_rows.groupBy("frame", "species").agg(*inside)
+    long = counts.select("species", F.inline(F.array(*[F.struct(F.lit(s).alias("shell"), F.col(f"s{k}").alias("n")) for k, s in enumerate(shells)])))
+    total_ = frames.agg(F.count("*").alias("_f"))
+    told = long.groupBy("species", "shell").agg(F.count("*").alias("_seen"), F.sum("n").alias("_s"), F.sum(F.col("n") * F.col("n")).alias("_q"), F.min("n").alias("_lo"), F.max("n").alias("most")).crossJoin(F.broadcast(total_))
+    mean = F.col("_s") / F.col("_f")
+    spread = F.greatest(F.lit(0.0), F.col("_q") - F.col("_f") * mean * mean)
+    least = F.when(F.col("_seen") < F.col("_f"), F.lit(0).cast("bigint")).otherwise(F.col("_lo"))
+    return told.select("species", "shell", F.col("_f").alias("frames"), mean.alias("mean"), F.when(F.col("_f") > 1, F.sqrt(spread / (F.col("_f") - 1))).alias("sd"), least.alias("least"), "most")
+
+
+def nearest_anywhere(left: DataFrame, right: DataFrame, cutoff: float, keys: list[str], doublings: int = 12) -> DataFrame:
+    """The nearest right point of each left point, however far (ties by id; none only where the frame has no right point).
+
+    Points that have none within the cutoff are tried again with a cutoff twice as large; at the last round cells are so wide that what is left is compared with
+    its whole frame."""
+    frame = keys[0] if keys else None
+    found, rest, reach = None, left, cutoff
+    for k in range(doublings + 1):
+        last = k == doublings
+        if last:
+            pairs = rest.select(*keys, F.col("id").alias("left_id"), *[F.col(c).alias(f"l{c}") for c in XYZ])
+            other = right.select(*keys, F.col("id").alias("right_id"), *XYZ)
+            apart = F.sqrt(total((F.col(f"l{c}") - F.col(c)) * (F.col(f"l{c}") - F.col(c)) for c in XYZ))
+            near = nearest((pairs.join(other, keys) if keys else pairs.crossJoin(other)).select(*keys, "left_id", "right_id", apart.alias("distance")), keys)
+        else:
+            near = nearest(neighbor_pairs(rest, right, reach, frame), keys)
+        near, _ = held(near)
+        found = near if found is None else found.unionByName(near)
+        rest, _ = held(rest.join(near.select(*keys, F.col("left_id").alias("id")), [*keys, "id"], "left_anti"))
+        reach *= 2
+        if last or not rest.limit(1).count():
+            return found
+    return found
+
+
 def shell_histogram(pairs: DataFrame, points: int, volume: float, width: float, cutoff: float) -> DataFrame:
     """Radial distribution: pairs per shell over those expected at the box's mean density. Empty shells are listed with zero."""
     shells = int(round(cutoff / width))
@@ -90,12 +158,12 @@ def reference_contacts(frames: DataFrame, pairs: DataFrame, reference: int) -> D
     return out.select("frame", "contacts", ratio(F.coalesce("kept", F.lit(0)), F.col("contacts")).alias("native_fraction"))
 
 
-def bridges(edges: DataFrame, frame: str, endpoint: str, hub: str) -> DataFrame:
+def bridges(edges: DataFrame, frame: str, endpoint: str, hub: str, most: int = 5000) -> DataFrame:
     """``(a, b, frames, hubs)``: endpoints that one hub ties together in a frame, each unordered pair counted once a frame.
 
-    Pairs meet inside one frame and hub only; the caller's frames bound them.
+    Pairs meet inside one frame and hub only; a hub with more than ``most`` endpoints in a frame is refused.
     """
-    e = edges.select(frame, hub, endpoint).distinct()
+    e = bounded(edges.select(frame, hub, endpoint).distinct(), [frame, hub], most)
     left, right = e.select(frame, hub, F.col(endpoint).alias("a")), e.select(frame, hub, F.col(endpoint).alias("b"))
     return left.join(right, [frame, hub]).where("a < b").groupBy("a", "b").agg(F.count_distinct(frame).alias("frames"), F.count_distinct(hub).alias("hubs"))
 

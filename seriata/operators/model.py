@@ -48,3 +48,11 @@ def held(df: DataFrame) -> tuple[DataFrame, bool]:
         context.setCheckpointDir(named)
     saved = bool(context.getCheckpointDir())
     return df.checkpoint() if saved else df.persist(), saved
+
+
+def bounded(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``df`` if no value of ``keys`` has more than ``most`` rows, else an error: for joins that pair the rows of one key. Counted where the rows lie."""
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"{largest} rows share one value of {keys}; at most {most} may be paired")
+    return df

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .model import bounded
 
 
 def occupancy(presence: DataFrame, frames: DataFrame, item: str) -> DataFrame:
@@ -47,25 +50,33 @@ def top_differences(compared: DataFrame, item: str, n: int) -> DataFrame:
 def canonical_names(df: DataFrame, rules: DataFrame, keys: list[str], target: str) -> DataFrame:
     """``df`` with ``target`` from the one rule whose non-NULL keys all match; the row's first key if none does.
 
-    Two matching rules are an error. ``rules`` is a short list written by people; beyond 10,000 rules it is refused.
+    Two matching rules are an error. ``rules`` is a short list written by people; beyond 10,000 rules it is refused. Rules are joined by equality, once for
+    each set of keys that some of them leave open, so no row is shuffled, gathered or compared with every rule.
     """
+    open_ = [F.col(k).isNull().alias(k) for k in keys]
     if rules.limit(10_001).count() > 10_000:
         raise ValueError("more than 10000 mapping rules")
-    fits = F.lit(True)
-    for k in keys:
-        fits = fits & (F.col(f"_r.{k}").isNull() | (F.col(f"_r.{k}") == F.col(f"_d.{k}")))
-    rows = df.withColumn("_row", F.struct(*df.columns)).alias("_d")
-    got = rows.join(F.broadcast(rules.alias("_r")), fits, "left").groupBy("_d._row").agg(F.count(F.col(f"_r.{target}")).alias("_n"), F.min(F.col(f"_r.{target}")).alias("_t"))
-    name = F.when(F.col("_n") > 1, F.raise_error(F.lit("several mapping rules match one key"))).otherwise(F.coalesce("_t", F.col("_row")[keys[0]].cast("string")))
-    return got.select("_row.*", name.alias(target))
-
-
-def pairwise_jaccard(df: DataFrame, key: str, item: str) -> DataFrame:
+    out, found = df, []
+    for pattern in rules.select(*open_).distinct().collect():
+        told = [k for k in keys if not pattern[k]]
+        same = reduce(lambda a, b: a & b, [F.col(k).isNull() == F.lit(pattern[k]) for k in keys])
+        i = len(found)
+        mine = rules.where(same).groupBy(*told).agg(F.count("*").alias(f"_n{i}"), F.min(target).alias(f"_t{i}"))
+        out = out.join(F.broadcast(mine), told, "left") if told else out.crossJoin(F.broadcast(mine))
+        found.append(i)
+    if not found:
+        return df.withColumn(target, F.col(keys[0]).cast("string"))
+    several = reduce(lambda a, b: a + b, [F.coalesce(f"_n{i}", F.lit(0)) for i in found]) > 1
+    name = F.when(several, F.raise_error(F.lit("several mapping rules match one key"))).otherwise(F.coalesce(*[F.col(f"_t{i}") for i in found], F.col(keys[0]).cast("string")))
+    return out.select(*df.columns, name.alias(target))
+
+
+def pairwise_jaccard(df: DataFrame, key: str, item: str, most: int = 5000) -> DataFrame:
     """``(left, right, shared, distance)`` for keys that share an item, from counts: items are joined, sets are not gathered.
 
-    Pairs that share nothing are at distance 1 by definition and not listed. A caller bounds the keys of one item, as the reference data do.
+    Pairs that share nothing are at distance 1 by definition and not listed. An item of more than ``most`` keys is refused, as all pairs of them would meet.
     """
-    rows = df.select(key, item).distinct()
+    rows = bounded(df.select(key, item).distinct(), [item], most)
     sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
     left, right = rows.select(F.col(key).alias("left"), item), rows.select(F.col(key).alias("right"), item)
     shared = left.join(right, item).where("left < right").groupBy("left", "right").agg(F.count("*").alias("shared"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars
-from ..operators import bonding, clustering, convergence, distributions, information, linear, markov, reports, sampling, summaries
+from ..operators import bonding, clustering, convergence, distributions, information, joins, linear, markov, reports, sampling, summaries
 from ..operators.runs import time_folds
 from ..sources import coordinates, dcd, exports
 from .bindings import DIMS, SERIES, VECTORS, series, table, vectors
@@ -293,6 +293,43 @@ def basin_silhouette(spark, sf_dir):
     return clustering.silhouette(placed, "vec_id", "point", "basin_id", 200).agg(F.count("*").alias("focal"), F.avg("silhouette").alias("silhouette"))
 
 
+def _placed(spark, sf_dir):
+    return vectors(spark, sf_dir).select(F.col("label").alias("frame"), F.concat(F.lit("g"), F.col("vec_id") % 3).alias("grp"), F.col("vec_id").alias("id"), *[F.col(c).alias(n) for c, n in zip(DIMS[:3], "xyz", strict=True)])
+
+
+_ALL_PAIRS = f"{VECTORS}, p AS (SELECT label AS frame, 'g' || (vec_id % 3) AS grp, vec_id AS id, d0 AS x, d1 AS y, d2 AS z FROM vectors), d AS (SELECT a.frame, a.grp AS left_group, b.grp AS right_group, a.id AS left_id, b.id AS right_id, sqrt({_dots(_vec('a', 'b'), _vec('a', 'b'))}) AS d FROM p a JOIN p b ON a.frame = b.frame AND a.id <> b.id)"
+
+
+@query(
+    f"""WITH {_ALL_PAIRS} SELECT CAST(frame AS BIGINT) AS frame, left_group, right_group, count(*) AS pairs, min(d) AS min_distance, first(left_id ORDER BY d, left_id, right_id) AS left_id, first(right_id ORDER BY d, left_id, right_id) AS right_id, avg(d) AS mean_distance, max(d) AS max_distance
+    FROM d WHERE left_group < right_group GROUP BY ALL""",
+    "min_distance mean_distance max_distance",
+)
+def group_pair_distances(spark, sf_dir):
+    return joins.group_pair_distances(_placed(spark, sf_dir))
+
+
+@query(f"WITH {_ALL_PAIRS} SELECT frame, left_id, right_id, d AS distance FROM d WHERE left_group = 'g0' AND right_group = 'g1' QUALIFY row_number() OVER (PARTITION BY frame, left_id ORDER BY d, right_id) = 1", "distance")
+def nearest_however_far(spark, sf_dir):
+    p = _placed(spark, sf_dir)
+    return joins.nearest_anywhere(p.where("grp = 'g0'").drop("grp"), p.where("grp = 'g1'").drop("grp"), 0.05, ["frame"])
+
+
+_NORM = "sqrt(d0 * d0 + d1 * d1 + d2 * d2)"
+
+
+@query(
+    f"""WITH {VECTORS}, s AS (SELECT unnest([0.1e0, 0.2e0, 0.3e0]) AS shell), g AS (SELECT f.frame, k.species, shell FROM (SELECT DISTINCT label AS frame FROM vectors) f CROSS JOIN (SELECT DISTINCT vec_id % 2 AS species FROM vectors) k CROSS JOIN s),
+    c AS (SELECT g.frame, g.species, g.shell, count(v.vec_id) AS n FROM g LEFT JOIN vectors v ON v.label = g.frame AND v.vec_id % 2 = g.species AND {_NORM} <= g.shell GROUP BY ALL)
+    SELECT species, shell, count(*) AS frames, avg(n) AS mean, stddev_samp(n) AS sd, min(n) AS least, max(n) AS most FROM c GROUP BY species, shell""",
+    "mean sd",
+)
+def species_shells(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    rows = v.select(F.col("label").alias("frame"), (F.col("vec_id") % 2).alias("species"), F.col("vec_id").alias("particle"), scalars.norm3([F.col(c) for c in DIMS[:3]]).alias("distance"))
+    return joins.species_shells(rows, rows.select("frame").distinct(), [0.1, 0.2, 0.3])
+
+
 # --- files written and read back --------------------------------------------------------------------------------
 
 
