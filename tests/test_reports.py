@@ -1,10 +1,11 @@
-"""Coverage gates, resumed tables, contexts, and budgets."""
+"""Coverage gates, resumed tables, contexts, budgets, names, and joins with bounds."""
 
 import json
 
+import numpy as np
 import pytest
 
-from seriata.operators import reports, sampling
+from seriata.operators import clustering, joins, occupancy, reports, sampling
 from seriata.sources import cache
 
 
@@ -64,3 +65,44 @@ def test_budgets(spark):
     rows = spark.range(30).selectExpr("id as ord", "if(id < 20, 'a', 'b') as g")
     got = sampling.balanced_budget(rows, ["g"], 8).groupBy("g").agg({"ord": "min", "*": "count"}).collect()
     assert {(r.g, r["count(1)"], r["min(ord)"]) for r in got} == {("a", 4, 0), ("b", 4, 20)}
+
+
+def test_pairings_are_bounded(spark):
+    rows = spark.range(30).selectExpr("1 as frame", "1 as hub", "id as endpoint")
+    assert joins.bridges(rows, "frame", "endpoint", "hub", most=30).count() == 435
+    with pytest.raises(ValueError, match="at most 29"):
+        joins.bridges(rows, "frame", "endpoint", "hub", most=29)
+    with pytest.raises(ValueError, match="at most 5"):
+        occupancy.pairwise_jaccard(rows, "endpoint", "hub", most=5)
+
+
+def test_names_by_rules(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("c", None)], "k string, t string")
+    rules = lambda *r: spark.createDataFrame(list(r), "k string, t string, name string")
+    told = lambda r: sorted(x.name for x in occupancy.canonical_names(rows, r, ["k", "t"], "name").collect())
+    assert told(rules(("a", None, "A"), (None, "y", "Y"))) == ["A", "A", "Y", "c"] and told(rules(("a", "x", "AX"))) == ["AX", "AX", "b", "c"]
+    assert told(rules((None, None, "all"))) == ["all"] * 4 and told(rules(("z", None, "Z")).limit(0)) == ["a", "a", "b", "c"]
+    for bad in (rules(("a", None, "A"), (None, "x", "X")), rules(("a", None, "A"), ("a", None, "B"))):
+        with pytest.raises(Exception, match="several mapping rules"):
+            told(bad)
+
+
+def test_nearest_however_far(spark):
+    schema = "frame int, id long, x double, y double, z double"
+    left = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 500.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0)], schema)
+    right = spark.createDataFrame([(1, 8, 0.5, 0.0, 0.0), (1, 7, 0.0, 0.5, 0.0), (1, 9, 1e7, 0.0, 0.0)], schema)
+    got = joins.nearest_anywhere(left, right, 1.0, ["frame"], doublings=3).collect()
+    assert sorted((r.frame, r.left_id, r.right_id, round(r.distance, 3)) for r in got) == [(1, 1, 7, 0.5), (1, 2, 8, 499.5)]
+
+
+def test_centres_in_batches_and_expressions_agree(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 3)))] + [(99, None)], "id int, v array<double>")
+    centers, weights = rng.normal(size=(6, 3)), rng.uniform(0.1, 1, (6, 3))
+    for p, w, most in ((2.0, None, None), (1.5, weights, None), (2.0, None, 0.8)):
+        told = []
+        for limit in (2000, 1):
+            monkeypatch.setattr(clustering, "MAX_LITERALS", limit)
+            made = clustering.assign_nearest(rows, "v", centers, p, w, most).orderBy("id").collect()
+            told.append([(r.id, r.cluster, None if r.cluster_distance is None else round(r.cluster_distance, 9)) for r in made])
+        assert told[0] == told[1] and told[0][-1] == (99, None, None)
