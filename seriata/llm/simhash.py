@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -138,6 +138,15 @@ RADIUS, BLOCKS, QUERY_EVERY, HOT_ROWS = 6, 8, 50, 4096
 SALTS = 16
 
 
+def _writers(spark: SparkSession) -> int:
+    """Tasks that write a table of narrow rows: a sixteenth of the shuffle partitions, but two for each core.
+
+    Hadoop's local file system starts a process for each permission that it sets, so each file costs some.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(parts, max(2 * spark.sparkContext.defaultParallelism, parts // 16))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``k1, k2, text``: the id as two columns without nulls, so that plain equality joins it; null text as empty."""
     return docs.select(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("k1"), F.col("doc_id").isNull().alias("k2"), whole(F.col("text")).alias("text"))
@@ -151,7 +160,7 @@ def next_keys(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     falling = [F.col("k2").asc(), F.col("k1").desc()]
     at = _keyed(docs).select("k1", "k2").distinct().repartitionByRange(parts, *falling).withColumn("part", F.spark_partition_id())
-    at, _ = stored(at, "ids")  # ranges are sampled, so they are fixed before they are read twice
+    at, _ = stored(at.coalesce(_writers(docs.sparkSession)), "ids")  # ranges are sampled, so they are fixed before they are read twice
     order = W.partitionBy("part").orderBy(*falling)
     at = at.withColumn("follows", F.lead(F.struct("k1", "k2")).over(order)).withColumn("nth", F.row_number().over(order))
     heads = at.where("nth = 1").select("part", F.struct("k1", "k2").alias("head"))
@@ -236,11 +245,12 @@ def find_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bloc
     """
     cols = [F.col("f0"), F.col("f1")]
     tables = F.explode(block_keys(cols, radius, blocks)).alias("k")
-    ask = queries.select("f0", "f1").distinct().select(F.col("f0").alias("query_f0"), F.col("f1").alias("query_f1"), tables).select("query_f0", "query_f1", "k.table", "k.key")
+    writers = _writers(index.sparkSession)
+    ask = queries.select("f0", "f1").distinct().coalesce(writers).select(F.col("f0").alias("query_f0"), F.col("f1").alias("query_f1"), tables).select("query_f0", "query_f1", "k.table", "k.key")
     ask, _ = stored(ask, "asked")
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = index.select("f0", "f1").distinct().repartition(parts, F.xxhash64("f0", "f1")).select("f0", "f1", tables).select("f0", "f1", "k.table", "k.key").join(ask.select("table", "key").distinct(), ["table", "key"], "left_semi")
-    own, _ = stored(own, "entries")
+    own, _ = stored(own.repartition(writers), "entries")
     large = own.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("table", "key", F.ceil(F.col("_n") / hot).cast("bigint").alias("_parts"))
     large, _ = stored(large, "large")
     parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
@@ -268,7 +278,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     texts = texts.select("k1", "k2", "n1", "n2", "text_hash", F.char_length("text").cast("bigint").alias("n_chars"), *quarter, F.inline(both))
     prints = term_fingerprints(texts, [*keys, "kind"])
     pick = [F.max(F.when(F.col("kind") == k, F.col(f"f{i}"))).alias(f"{n}{i}") for k, n in ((0, "f"), (1, "e")) for i in range(2)]
-    prints, _ = stored(prints.groupBy(*keys).agg(*pick), "prints")
+    writers = _writers(docs.sparkSession)
+    prints, _ = stored(prints.groupBy(*keys).agg(*pick).repartition(writers), "prints")  # without the texts: dealing them out moves little
     lead = prints.groupBy(F.col("k1").alias("n1"), F.col("k2").alias("n2")).agg(F.min(F.struct("text_hash", "f0", "f1")).alias("n"))
     f, e, n = ([F.col(f"{x}{i}") for i in range(2)] for x in ("f", "e", "n.f"))
     out = prints.join(lead, ["n1", "n2"])
@@ -283,4 +294,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.when(~F.col("k2"), F.col("k1")).alias("doc_id"), "n_chars", F.concat(*[hex16(F.col(f"q{i}")) for i in range(4)]).alias("edited_sha256"),
         F.concat(*map(hex16, f)).alias("fingerprint"), F.concat(*map(hex16, e)).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, n).alias("near_next"), "n_within", "nearest_bits",
     ]
-    return others.select(*result).unionByName(asked.select(*result))
+    return others.select(*result).unionByName(asked.select(*result)).coalesce(writers)

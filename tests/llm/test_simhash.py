@@ -184,3 +184,31 @@ def test_op2_fingerprints_and_search_against_brute_force(spark, tmp_table):
         assert (r.n_within, r.nearest_bits) == (len(gaps), min(gaps, default=None))
         hits += len(gaps)
     assert hits
+
+
+def test_op2_writes_few_files_and_the_same_rows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, simhash.fingerprint_documents(docs).collect()))
+    files, write = {}, simhash.stored
+
+    def counted(df, name):
+        out, path = write(df, name)
+        files[name] = len(out.inputFiles())
+        return out, path
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        out = simhash.fingerprint_documents(docs)
+        parts = out.rdd.getNumPartitions()
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and len(got) == docs.count()
+    assert {"ids", "asked", "entries", "prints"} <= set(files)
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert max(files.values()) <= few and parts <= few
