@@ -348,9 +348,8 @@ _POINTS = f"{VECTORS}, n AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS f
 )
 def trajectory_frames(spark, sf_dir):
     """Every embedding as a frame of 21 points, written as one DCD file, of which a range of frames is read back. A mounted shared folder is needed."""
-    points = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice("v", i * 3 + 1, F.lit(3)))
     where = _folder(spark, "frames").removeprefix("file:").replace("//", "/")
-    made = vectors(spark, sf_dir).select("vec_id", points.alias("p")).coalesce(1).sortWithinPartitions("vec_id").mapInPandas(_dcd_writer(where), "frames long")
+    made = vectors(spark, sf_dir).select("vec_id", F.slice("v", 1, 63).alias("p")).repartition(1).sortWithinPartitions("vec_id").select("p").mapInArrow(_dcd_writer(where), "frames long")
     made.collect()  # one number
     rows = dcd.read_dcd(spark, where, start=3, end=401, range_bytes=1 << 14)
     sums = [_axis(k).alias(f"sum_{c}") for k, c in enumerate("xyz")]
@@ -365,14 +364,11 @@ def _dcd_writer(where: str):
     def write(batches):
         import os
 
-        import pandas as pd
+        import pyarrow as pa
 
-        frames = [np.array([list(x) for x in p]) for b in batches for p in b["p"]]
-        if frames:
-            os.makedirs(where, exist_ok=True)
-            with open(f"{where}/a.dcd", "wb") as f:
-                f.write(coordinates.write_dcd(np.stack(frames)))
-        yield pd.DataFrame({"frames": [len(frames)]})
+        os.makedirs(where, exist_ok=True)
+        frames = (b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, 21, 3) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([coordinates.append_dcd(f"{where}/a.dcd", frames, 21)], pa.int64())], ["frames"])
 
     return write
 

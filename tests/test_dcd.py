@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from seriata.sources import dcd
+from seriata.sources import coordinates, dcd
 
 
 def record(payload, order="<"):
@@ -67,3 +67,37 @@ def test_cut_files_fail(spark, tmp_path):
     (tmp_path / "a.dcd").write_bytes(b"nothing")
     with pytest.raises(Exception, match="not a DCD"):
         dcd.read_dcd(spark, str(tmp_path)).count()
+
+
+def test_writing_holds_one_batch_and_grows_with_its_frames(tmp_path):
+    """Frames go to the file batch by batch: ten times as many take no more memory."""
+    import tracemalloc
+
+    peaks = []
+    for n in (20, 200):
+        batches = (np.full((100, 21, 3), k, "f4") for k in range(n))
+        tracemalloc.start()
+        assert coordinates.append_dcd(f"{tmp_path}/{n}.dcd", batches, 21) == 100 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+    data = (tmp_path / "20.dcd").read_bytes()
+    assert data == coordinates.write_dcd(np.concatenate([np.full((100, 21, 3), k, "f4") for k in range(20)])) and not list(tmp_path.glob("*.dcd.*"))
+    assert coordinates.append_dcd(f"{tmp_path}/none.dcd", iter([]), 21) == 0
+
+
+def test_written_bytes_are_joined_once():
+    """Ten times the frames take about ten times as long, not a hundred times."""
+    import time
+
+    def seconds(n):
+        frames, best = np.zeros((n, 21, 3)), 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            coordinates.write_dcd(frames)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(30_000) < 30 * seconds(3_000)
+    cells = [(10.0 + k, 11.0, 12.0, 90.0, 80.0, 70.0) for k in range(9)]
+    assert coordinates.write_dcd(FRAMES, cells) == file_of(FRAMES, cells)
