@@ -165,3 +165,12 @@ def hybrid36(field: Column, width: int) -> Column:
     upper = F.when(text.rlike(rf"^[A-Z][0-9A-Z]{{{width - 1}}}$"), base - 10 * 36 ** (width - 1) + 10**width)
     lower = F.when(text.rlike(rf"^[a-z][0-9a-z]{{{width - 1}}}$"), base + 16 * 36 ** (width - 1) + 10**width)
     return F.coalesce(plain, F.when(first.rlike("[A-Z]"), upper), F.when(first.rlike("[a-z]"), lower))
+
+
+def to_hybrid36(n: Column, width: int) -> Column:
+    """A whole number as ``width`` characters that ``hybrid36`` reads: decimal to the right, then upper-case base 36, then lower-case. One beyond these fails the query."""
+    n, letters = n.cast("bigint"), 26 * 36 ** (width - 1)
+    digits = lambda past: F.conv((n - past + 10 * 36 ** (width - 1)).cast("string"), 10, 36)
+    plain, upper, lower = 10**width, 10**width + letters, 10**width + 2 * letters
+    beyond = F.raise_error(F.concat(n.cast("string"), F.lit(f" doesn't fit {width} characters of hybrid-36"))).cast("string")
+    return F.when((n > -(10 ** (width - 1))) & (n < plain), F.format_string(f"%{width}d", n)).when((n >= plain) & (n < upper), F.upper(digits(plain))).when((n >= upper) & (n < lower), F.lower(digits(upper))).when(n.isNotNull(), beyond)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import to_hybrid36
+
 
 def pdb_line(serial: Column, name: Column, residue: Column, chain: Column, number: Column, xyz: list[Column], factor: Column, element: Column) -> Column:
-    """One ATOM line in fixed columns."""
-    return F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", serial, name, residue, chain, number, *xyz, F.lit(1.0), factor, element)
+    """One ATOM line in fixed columns; numbers that are too long for theirs are hybrid-36."""
+    return F.format_string("ATOM  %s %-4s %3s %1s%s    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", to_hybrid36(serial, 5), name, residue, chain, to_hybrid36(number, 4), *xyz, F.lit(1.0), factor, element)
 
 
 def write_factor_pdb(atoms: DataFrame, profile: DataFrame, key: str, value: str, path: str, cap: float = 999.99) -> None:

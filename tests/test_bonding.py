@@ -84,3 +84,18 @@ def test_text_sinks(spark, tmp_path):
     assert coordinates.read_frames(spark, f"file://{tmp_path}/x/state=1", "xyz").first().points == [[0.0, 0.0, 0.0]]
     exports.write_grid(spark.createDataFrame([(1, None), (2, 0.5)], "i int, v double"), f"file://{tmp_path}/g")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/g").count() == 2
+
+
+def test_long_numbers_keep_their_columns(spark, tmp_path):
+    """Serial numbers from 100,000 and residue numbers from 10,000 on are written as hybrid-36."""
+    serials = [-9, 99_999, 100_000, 100_035, 43_770_015, 43_770_016, 87_440_031]
+    numbers = [9_999, 10_000, 10_035, 1_223_055, 1_223_056, 2_436_111, -999]
+    rows = [(s, "CA", "ALA", "A", n, 1.5, -2.0, 3.0, "C") for s, n in zip(serials, numbers, strict=True)]
+    atoms = spark.createDataFrame(rows, "serial int, atom_name string, residue_name string, chain_id string, residue_number int, x double, y double, z double, element string")
+    none = spark.createDataFrame([], "serial int, rmsf double")
+    exports.write_factor_pdb(atoms, none, "serial", "rmsf", f"file://{tmp_path}/b")
+    assert {len(r.value) for r in spark.read.text(f"file://{tmp_path}/b").collect()} == {78}
+    back = coordinates.read_pdb_atoms(spark, f"file://{tmp_path}/b").orderBy("serial").collect()
+    assert [(r.serial, r.residue_number, r.atom_name, r.chain_id, r.x, r.y) for r in back] == [(s, n, "CA", "A", 1.5, -2.0) for s, n in zip(serials, numbers, strict=True)]
+    with pytest.raises(Exception, match="hybrid-36"):
+        exports.write_factor_pdb(atoms.withColumn("serial", F.lit(87_440_032)), none, "serial", "rmsf", f"file://{tmp_path}/c")
