@@ -35,12 +35,26 @@ def _cell(c: str, cutoff: float) -> Column:
     return F.floor(F.col(c) / cutoff).cast("bigint")
 
 
-def neighbor_pairs(left: DataFrame, right: DataFrame, cutoff: float, frame: str | None = None, box: tuple[float, float, float] | None = None) -> DataFrame:
+#: Left points of one cell that meet the points around them in one task.
+BLOCK = 2048
+
+
+def neighbor_pairs(left: DataFrame, right: DataFrame, cutoff: float, frame: str | None = None, box: tuple[float, float, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``(frame, left_id, right_id, distance)`` for all points within ``cutoff``; both sides have ``id, x, y, z``.
 
     Each left point goes to its own cell and each right point to the 27 around it, so equal cells meet once. With ``box`` cells
     wrap and distances use the nearest image; a box must be three cutoffs wide at least, or cells would meet twice.
     """
+    return near_rows(left, right, cutoff, frame, box, block).select(*([frame] if frame else []), "left_id", "right_id", "distance")
+
+
+def near_rows(left: DataFrame, right: DataFrame, cutoff: float, frame: str | None = None, box: tuple[float, float, float] | None = None, block: int = BLOCK, carry: tuple[str, ...] = (), carry_right: tuple[str, ...] = ()) -> DataFrame:
+    """``neighbor_pairs`` with the columns ``carry`` of the left side and ``carry_right`` of the right one (names of their own), so that pairs needn't be joined again.
+
+    The left points of a full cell are dealt by hash to blocks of about ``block``, and a right point is copied to each block of its 27 cells: a task
+    holds one block and streams what is near it, and one full cell is shared out to as many tasks as it has blocks. The partitions are set,
+    as bytes don't tell the work of pairs.
+    """
     keys = [frame] if frame else []
     if box and min(box) < 3 * cutoff:
         raise ValueError("the box is less than three cutoffs wide")
@@ -48,16 +62,24 @@ def neighbor_pairs(left: DataFrame, right: DataFrame, cutoff: float, frame: str
     widths = [b / n for b, n in zip(box, counts, strict=True)] if box else [cutoff] * 3
     # a periodic cell is at least one cutoff wide
     own = [F.pmod(F.floor(F.col(c) / w), F.lit(n)).cast("bigint") if box else _cell(c, w) for c, w, n in zip(XYZ, widths, counts or [0] * 3, strict=True)]
-    a = left.select(*keys, F.col("id").alias("left_id"), *[F.col(c).alias(f"l{c}") for c in XYZ], *[k.alias(f"c{c}") for k, c in zip(own, XYZ, strict=True)])
+    cells = [f"c{c}" for c in XYZ]
+    placed = left.select(*keys, *[k.alias(c) for k, c in zip(own, cells, strict=True)])
+    blocks = placed.groupBy(*keys, *cells).agg(F.ceil(F.count("*") / block).cast("bigint").alias("_blocks"))
+    a = left.select(*keys, F.col("id").alias("left_id"), *[F.col(c).alias(f"l{c}") for c in XYZ], *carry, *[k.alias(c) for k, c in zip(own, cells, strict=True)])
+    a = a.join(blocks, [*keys, *cells]).withColumn("_block", F.pmod(F.xxhash64("left_id"), F.col("_blocks"))).drop("_blocks")
     around = F.explode(F.array(*[F.struct(*[F.lit(d).cast("bigint").alias(c) for d, c in zip(step, XYZ, strict=True)]) for step in product((-1, 0, 1), repeat=3)])).alias("_s")
-    b = right.select(*keys, F.col("id").alias("right_id"), *[F.col(c).alias(f"r{c}") for c in XYZ], *[k.alias(f"_c{c}") for k, c in zip(own, XYZ, strict=True)], around)
+    b = right.select(*keys, F.col("id").alias("right_id"), *[F.col(c).alias(f"r{c}") for c in XYZ], *carry_right, *[k.alias(f"_c{c}") for k, c in zip(own, XYZ, strict=True)], around)
     shifted = [F.pmod(F.col(f"_c{c}") + F.col(f"_s.{c}"), F.lit(n)) if box else F.col(f"_c{c}") + F.col(f"_s.{c}") for c, n in zip(XYZ, counts or [0] * 3, strict=True)]
-    b = b.select(*keys, "right_id", *[f"r{c}" for c in XYZ], *[s.alias(f"c{c}") for s, c in zip(shifted, XYZ, strict=True)])
+    b = b.select(*keys, "right_id", *[f"r{c}" for c in XYZ], *carry_right, *[s.alias(c) for s, c in zip(shifted, cells, strict=True)])
+    b = b.join(blocks, [*keys, *cells]).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
     d = [F.col(f"l{c}") - F.col(f"r{c}") for c in XYZ]
     if box:
         d = [minimum_image(x, length) for x, length in zip(d, box, strict=True)]
     apart = F.sqrt(total(x * x for x in d))
-    return a.join(b, [*keys, *[f"c{c}" for c in XYZ]]).withColumn("distance", apart).where(F.col("distance") <= cutoff).select(*keys, "left_id", "right_id", "distance")
+    at, parts = [*keys, *cells, "_block"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the side that a merge join holds is the last one: one block
+    met = b.repartition(parts, *at).join(a.repartition(parts, *at), at).withColumn("distance", apart).where(F.col("distance") <= cutoff)
+    return met.select(*keys, "left_id", "right_id", "distance", *[f"l{c}" for c in XYZ], *[f"r{c}" for c in XYZ], *carry, *carry_right)
 
 
 def nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,13 +171,22 @@ def shell_histogram(pairs: DataFrame, points: int, volume: float, width: float,
     return grid.join(F.broadcast(counts), "shell", "left").select("shell", n.alias("n"), (n / expected).alias("g"))
 
 
-def reference_contacts(frames: DataFrame, pairs: DataFrame, reference: int) -> DataFrame:
-    """Share of the contacts of the reference frame that hold in each frame; ``pairs(frame, left_id, right_id)`` and ``frames(frame)``."""
-    native = pairs.where(F.col("frame") == reference).select("left_id", "right_id").distinct()
-    told = native.agg(F.count("*").alias("contacts"))
-    kept = pairs.join(native, ["left_id", "right_id"], "left_semi").groupBy("frame").agg(F.count_distinct("left_id", "right_id").alias("kept"))
-    out = frames.join(kept, "frame", "left").crossJoin(F.broadcast(told))
-    return out.select("frame", "contacts", ratio(F.coalesce("kept", F.lit(0)), F.col("contacts")).alias("native_fraction"))
+def native_fractions(points: DataFrame, cutoff: float, reference: int) -> DataFrame:
+    """Share of the contacts of the reference frame that hold in each frame of ``points(frame, id, x, y, z)``; an id stands once in a frame.
+
+    Each point brings where it is in the reference frame, and pairs are sought there: a pair is counted where it meets, and none becomes a row. The reference
+    frame's own count is the number of its contacts.
+    """
+    there = points.where(F.col("frame") == reference).select("id", *XYZ)
+    both = points.select("frame", "id", *[F.col(c).alias(f"_{c}") for c in XYZ]).join(there, "id")
+    mine, other = ([F.col(f"_{c}").alias(f"_{side}{c}") for c in XYZ] for side in "lr")
+    a, b = (both.select("frame", "id", *XYZ, *own) for own in (mine, other))
+    near = near_rows(a, b, cutoff, "frame", carry=tuple(f"_l{c}" for c in XYZ), carry_right=tuple(f"_r{c}" for c in XYZ)).where("left_id < right_id")
+    now = F.sqrt(total((F.col(f"_l{c}") - F.col(f"_r{c}")) * (F.col(f"_l{c}") - F.col(f"_r{c}")) for c in XYZ))
+    kept = near.where(now <= cutoff).groupBy("frame").agg(F.count("*").alias("kept"))
+    told = points.select("frame").distinct().join(kept, "frame", "left").withColumn("kept", F.coalesce("kept", F.lit(0)).cast("bigint"))
+    contacts = F.coalesce(F.max(F.when(F.col("frame") == reference, F.col("kept"))).over(W.partitionBy()), F.lit(0)).cast("bigint")  # one row per frame
+    return told.withColumn("contacts", contacts).select("frame", "contacts", ratio(F.col("kept"), F.col("contacts")).alias("native_fraction"))
 
 
 def bridges(edges: DataFrame, frame: str, endpoint: str, hub: str, most: int = 5000) -> DataFrame:

@@ -188,8 +188,7 @@ def radial_distribution(spark, sf_dir):
 )
 def native_contacts(spark, sf_dir):
     p = _points(spark, sf_dir).withColumn("id", F.row_number().over(W.partitionBy("frame").orderBy("id")).cast("bigint"))
-    pairs = joins.neighbor_pairs(p, p, 0.15, "frame").where("left_id < right_id")
-    return joins.reference_contacts(p.select("frame").distinct(), pairs, 0)
+    return joins.native_fractions(p, 0.15, 0)
 
 
 @query(

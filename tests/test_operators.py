@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,27 @@ def test_contracts(spark):
     assert [r.code for r in order_issues(df, "t").collect()] == ["axis_not_increasing"]
     with pytest.raises(Exception, match="no value"):
         require(df, F.col("t") < 3, "no value").collect()
+
+
+def test_full_cells_are_shared_out(spark):
+    """One full cell is dealt to blocks, and its pairs are made by several tasks though its bytes are few; no pair is lost or told twice."""
+    rng = np.random.default_rng(5)
+    p = rng.uniform(0, 1, (400, 3))
+    df = spark.createDataFrame([(0, k, *map(float, x)) for k, x in enumerate(p)], "frame long, id long, x double, y double, z double")
+    near = joins.neighbor_pairs(df, df, 1.0, "frame", block=20)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    assert sorted((r.left_id, r.right_id) for r in near.collect()) == [tuple(map(int, x)) for x in np.argwhere(d <= 1.0)]
+    made = [r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(made) == 4 and max(made) < 0.6 * sum(made)
+
+
+def test_native_fractions(spark):
+    """Against all pairs: contacts are those of the reference frame; a frame without them and an id that it lacks count."""
+    rng = np.random.default_rng(6)
+    p = rng.normal(0, 1, (3, 40, 3))
+    p[2] *= 50
+    rows = [(f, k, *map(float, x)) for f in range(3) for k, x in enumerate(p[f]) if (f, k) != (1, 7)]
+    got = joins.native_fractions(spark.createDataFrame(rows, "frame long, id long, x double, y double, z double"), 0.8, 0).collect()
+    near = np.triu(np.sqrt(((p[:, :, None] - p[:, None]) ** 2).sum(3)) <= 0.8, 1)
+    near[1, 7], near[1, :, 7] = False, False
+    assert {r.frame: (r.contacts, round(r.native_fraction, 9)) for r in got} == {f: (near[0].sum(), round((near[f] & near[0]).sum() / near[0].sum(), 9)) for f in range(3)}
