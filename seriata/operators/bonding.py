@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import angle_degrees
-from .joins import neighbor_pairs
+from ..functions.scalars import dot3, norm3
+from .joins import near_rows, neighbor_pairs
 
 # Residue names by class, as force fields and structure files write them, and names of backbone atoms.
 WATER = ("HOH", "WAT", "H2O", "DOD", "SOL", "SPC", "SPCE", "TIP", "TIP2", "TIP3", "TIP3P", "TP3", "TIP4", "TIP4P", "T4P", "TIP5", "OPC")
@@ -77,19 +77,23 @@ def scope_allows(scope: str, left: Column, right: Column) -> Column:
 def bonds_in_frames(donors: DataFrame, acceptors: DataFrame, points: DataFrame, distance: float, angle: float, scope: str = "all", box: tuple[float, float, float] | None = None) -> DataFrame:
     """``(frame, donor, hydrogen, acceptor, distance, angle)`` of all donor-acceptor pairs that hold in a frame of ``points(frame, id, x, y, z)``.
 
-    Candidates are never listed: pairs come from the cell grid of each frame, then the scope, the exclusion of one residue and the angle at the hydrogen are tested.
+    Candidates are never listed: pairs come from the cell grid of each frame, and the scope, the exclusion of one residue and the angle at the hydrogen are
+    tested where they meet. A donor brings its hydrogen's place along, so no pair is joined again.
     """
-    d = points.join(donors.select(F.col("donor").alias("id")).distinct(), "id", "left_semi")
-    a = points.join(acceptors.select(F.col("acceptor").alias("id")), "id", "left_semi")
-    near = neighbor_pairs(d, a, distance, "frame", box).where("left_id <> right_id")
-    kind = near.join(donors, F.col("left_id") == F.col("donor")).join(acceptors.withColumnsRenamed({"residue": "_ar", "entity": "_ae"}), F.col("right_id") == F.col("acceptor"))
-    kind = kind.where((F.col("residue") != F.col("_ar")) & scope_allows(scope, F.col("entity"), F.col("_ae")))
-    for name in ("donor", "hydrogen", "acceptor"):
-        kind = kind.join(points.select("frame", F.col("id").alias(name), F.array("x", "y", "z").alias(f"_{name}")), ["frame", name])
-    at = [[F.col(f"_{n}")[k] for k in range(3)] for n in ("donor", "hydrogen", "acceptor")]
-    if box:
-        at = [[c if n == 1 else at[1][k] + (c - at[1][k]) - box[k] * F.floor((c - at[1][k]) / box[k] + 0.5) for k, c in enumerate(p)] for n, p in enumerate(at)]
-    return kind.withColumn("angle", angle_degrees(*at)).where(F.col("angle") >= angle).select("frame", "donor", "hydrogen", "acceptor", "distance", "angle")
+    xyz = ("x", "y", "z")
+    image = lambda x, k: x - box[k] * F.floor(x / box[k] + 0.5) if box else x
+    at_hydrogen = points.select("frame", F.col("id").alias("hydrogen"), *[F.col(c).alias(f"_h{c}") for c in xyz])
+    d = points.join(donors.withColumnsRenamed({"donor": "id", "residue": "_dr", "entity": "_de"}), "id").join(at_hydrogen, ["frame", "hydrogen"])
+    d = d.withColumns({f"_u{c}": image(F.col(c) - F.col(f"_h{c}"), k) for k, c in enumerate(xyz)}).withColumn("_u", norm3([F.col(f"_u{c}") for c in xyz]))
+    a = points.join(acceptors.withColumnsRenamed({"acceptor": "id", "residue": "_ar", "entity": "_ae"}), "id")
+    near = near_rows(d, a, distance, "frame", box, carry=("hydrogen", "_dr", "_de", *[f"_{n}{c}" for n in "hu" for c in xyz], "_u"), carry_right=("_ar", "_ae")).where("left_id <> right_id")
+    kind = near.where((F.col("_dr") != F.col("_ar")) & scope_allows(scope, F.col("_de"), F.col("_ae")))
+    # the angle is part of the join's condition, and written short: a longer one makes a method that the JVM doesn't compile
+    v = [image(F.col(f"r{c}") - F.col(f"_h{c}"), k) for k, c in enumerate(xyz)]
+    arms = F.col("_u") * norm3(v)
+    turn = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(dot3([F.col(f"_u{c}") for c in xyz], v), arms)))))
+    held = kind.where(arms > 0).withColumn("angle", turn).where(F.col("angle") >= angle)
+    return held.select("frame", F.col("left_id").alias("donor"), "hydrogen", F.col("right_id").alias("acceptor"), "distance", "angle")
 
 
 def best_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
