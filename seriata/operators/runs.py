@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import ratio
-from .model import ID, ORD, in_replica, in_segment, whole_replica
+from .model import ID, ORD, held, in_replica, in_segment, whole_replica
 from .summaries import summary_columns
 
 
@@ -139,12 +139,26 @@ def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int) -> Data
 
 
 def benjamini_hochberg(df: DataFrame, family: str, p: str, key: str) -> DataFrame:
-    """``q`` per family: the running minimum of ``p n / rank`` from the largest p down, 1 at most. Rows without p are left out."""
-    rows = df.where(F.col(p).isNotNull())
-    up = W.partitionBy(family).orderBy(p, key)
-    ranked = rows.withColumn("rank", F.row_number().over(up).cast("bigint")).withColumn("_n", F.count("*").over(W.partitionBy(family)))
-    down = W.partitionBy(family).orderBy(F.col("rank").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("rank")).over(down))).drop("_n")
+    """``q`` per family: the running minimum of ``p n / rank`` from the largest p down, 1 at most. Rows without p are left out.
+
+    Rows are range-partitioned and ranked inside a partition, so that a large family is shared out; only one count and one minimum per family and partition meet.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.where(F.col(p).isNotNull()).repartitionByRange(parts, family, p, key)
+    ranged, _ = held(ranged.withColumn("_part", F.spark_partition_id()))  # ranges are sampled, so they are fixed before they are read twice
+    part = W.partitionBy(family, "_part")
+    earlier = W.partitionBy("_f").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy("_f").orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, -1)
+    same = F.col(family).eqNullSafe(F.col("_f")) & (F.col("_part") == F.col("_p"))
+    sizes = ranged.groupBy(F.col(family).alias("_f"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    before = sizes.select("_f", "_p", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy("_f")).alias("_n"))
+    inside = ranged.withColumn("_k", F.row_number().over(part.orderBy(p, key)).cast("bigint"))
+    ranked = inside.join(before, same).withColumn("rank", F.col("_before") + F.col("_k")).withColumn("_v", F.col(p) * F.col("_n") / F.col("rank")).drop("_f", "_p", "_before", "_n")
+    least = ranked.groupBy(F.col(family).alias("_f"), F.col("_part").alias("_p")).agg(F.min("_v").alias("_least"))
+    least = least.select("_f", "_p", F.min("_least").over(later).alias("_later"))
+    down = part.orderBy(F.col("_k").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = ranked.withColumn("_q", F.min("_v").over(down)).join(least, same)
+    return told.select(*df.columns, "rank", F.least(F.lit(1.0), "_q", "_later").alias("q"))
 
 
 def effect_percentile(df: DataFrame, family: str, effect: str) -> DataFrame:

@@ -205,3 +205,24 @@ def test_native_fractions(spark):
     near = np.triu(np.sqrt(((p[:, :, None] - p[:, None]) ** 2).sum(3)) <= 0.8, 1)
     near[1, 7], near[1, :, 7] = False, False
     assert {r.frame: (r.contacts, round(r.native_fraction, 9)) for r in got} == {f: (near[0].sum(), round((near[f] & near[0]).sum() / near[0].sum(), 9)) for f in range(3)}
+
+
+def test_a_large_family_is_ranked_by_several_tasks(spark):
+    """Against the plain rule, with ties, a family without a name and rows without p; one family is spread over the tasks."""
+    rng = np.random.default_rng(8)
+    rows = [("a", k, None if k == 5 else float(x)) for k, x in enumerate(np.round(rng.beta(0.5, 1.5, 2000), 2))] + [(None, k, float(x)) for k, x in enumerate(rng.uniform(0, 0.02, 9))]
+    got = runs.benjamini_hochberg(spark.createDataFrame(rows, "family string, key long, p double"), "family", "p", "key")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = got.where("family = 'a'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 1
+    want = {}
+    for name in ("a", None):
+        mine = sorted((p, k) for f, k, p in rows if f == name and p is not None)
+        least = 1.0
+        for rank in range(len(mine), 0, -1):
+            least = min(least, mine[rank - 1][0] * len(mine) / rank)
+            want[name, mine[rank - 1][1]] = (rank, round(least, 12))
+    assert {(r.family, r.key): (r["rank"], round(r.q, 12)) for r in got.collect()} == want
