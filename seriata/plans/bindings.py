@@ -49,11 +49,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("system_id"), F.col("o_orderpriority").alias("replica_id"), F.col("o_orderkey").alias("frame"))
 
 
+#: Orders whose lines meet in one task.
+FRAMES_PER_TASK = 100_000
+
+
 def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands present in orders."""
+    """Brands present in orders. Lines get their brand first and then meet their order once, in as many tasks as the number of orders asks for."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), "l_partkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("item"))
-    return frames(spark, sf_dir).join(lines, "frame").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("system_id", "replica_id", "frame", "item")
+    grid = frames(spark, sf_dir)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grid.count() // FRAMES_PER_TASK))
+    named = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("frame", "item").repartition(tasks, "frame")
+    return grid.repartition(tasks, "frame").join(named, "frame").select("system_id", "replica_id", "frame", "item")
 
 
 PRESENCE = """frames AS (SELECT o_orderstatus AS system_id, o_orderpriority AS replica_id, o_orderkey AS frame FROM orders

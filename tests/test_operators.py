@@ -226,3 +226,13 @@ def test_a_large_family_is_ranked_by_several_tasks(spark):
             least = min(least, mine[rank - 1][0] * len(mine) / rank)
             want[name, mine[rank - 1][1]] = (rank, round(least, 12))
     assert {(r.family, r.key): (r["rank"], round(r.q, 12)) for r in got.collect()} == want
+
+
+def test_presence_is_dealt_by_the_number_of_orders(spark, monkeypatch):
+    """More orders give more tasks, not larger ones, and few bytes aren't drawn into few tasks."""
+    from seriata.plans import bindings
+
+    sf = "/root/testdata/sf0.001"
+    assert bindings.presence(spark, sf).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(bindings, "FRAMES_PER_TASK", 100)
+    assert bindings.presence(spark, sf).rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/orders.parquet").count() // 100)
